@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan
+from . import byte_bpe, exact_dedup, license_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op9_license_scan": license_scan.op9_license_scan,
     }
 
