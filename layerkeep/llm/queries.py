@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan
+from . import byte_bpe, exact_dedup, language_id, license_scan, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_language_id": language_id.op3_language_id,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_license_scan": license_scan.op9_license_scan,
     }
 
