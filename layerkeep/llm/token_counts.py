@@ -134,10 +134,10 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens. The vocabulary (bounded by its file) is broadcast."""
-    held, key = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest()
+    held, key = docs.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.byte_fallback, vocabulary.dummy_prefix)), vocabulary.digest()
 
     def run(batches):
-        counter = cached(f"unigram:{key}", lambda: Counter(held.value))
+        counter = cached(f"unigram:{key}", lambda: Counter(Vocabulary(*held.value)))
         for batch in batches:
             for ids, texts in rows_of(batch):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counter.count(texts), pa.int64())], schema=SCHEMA)
