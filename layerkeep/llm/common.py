@@ -86,3 +86,22 @@ def cached(key: str, make: Callable):
 
 def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+#: A key is hot from this share of all rows on, so at most 1 / HOT_SHARE keys are hot, whatever the input.
+HOT_SHARE = 0.001
+
+
+def join_small_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each key, with the number of rows it has in all).
+
+    Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE groups where they
+    are; only the others are shuffled, so no task gets a hot key's rows.
+    ``how``: inner or left_semi.
+    """
+    hot = F.col(size) > max(2, int(total * HOT_SHARE))
+    few, many = groups.filter(hot), groups.filter(~hot)
+    if how == "left_semi":
+        few, many = few.select(*keys), many.select(*keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys, how).unionByName(rest.join(many, keys, how))

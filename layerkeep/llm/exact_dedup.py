@@ -21,11 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, partitions, shared_dir
-
-#: A group is hot from this share of all rows on, so at most 1 / HOT_SHARE groups are broadcast.
-HOT_SHARE = 0.001
-
+from .common import WHITE, join_small_groups, partitions, shared_dir, table, written
 
 def normalised(text):
     out = F.coalesce(text.cast("string"), F.lit(""))
@@ -69,16 +65,9 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_b
     """
     spark = docs.sparkSession
     n = n_buckets or partitions(spark)
-    rows = written_digests(docs, id_col, text_col)
+    rows = written(digests(docs, id_col, text_col), "digests")
     index = bucketed(representatives(rows), "digests", n)
-    threshold = max(2, int(rows.count() * HOT_SHARE))
-    hot = index.filter(F.col("group_size") > threshold)  # at most 1 / HOT_SHARE rows, whatever the input
-    cold = index.filter(F.col("group_size") <= threshold)
-    out = [
-        rows.join(F.broadcast(hot), "digest"),
-        rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold.hint("merge"), "digest"),
-    ]
-    both = out[0].unionByName(out[1])
+    both = join_small_groups(rows, index, ["digest"], "group_size", rows.count())
     return both.select(
         "doc_id", "keep_id", F.col("group_size").cast("long"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -86,12 +75,6 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_b
     )
 
 
-def written_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    from .common import written
-
-    return written(digests(docs, id_col, text_col), "digests")
-
-
 class ExactDedupIndex:
     """A digest index that lasts: its Parquet files lie under ``path``, its table is registered on use.
 
@@ -119,8 +102,6 @@ class ExactDedupIndex:
         return new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        from .common import written
-
         fresh = written(self.fresh(docs, id_col, text_col), "fresh")
         kept = written(with_digest(docs, text_col).join(
             fresh.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")),
@@ -136,8 +117,6 @@ def with_digest(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return resolve(table(spark, sf_dir, "documents"))
 
 
