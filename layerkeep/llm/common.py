@@ -105,3 +105,25 @@ def join_small_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size:
         few, many = few.select(*keys), many.select(*keys)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(few), keys, how).unionByName(rest.join(many, keys, how))
+
+
+#: Ids broadcast at most, counted first; beyond, the join shuffles.
+MOST_BROADCAST = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, whose id is not in ``gone`` (one column); rows without an id stay."""
+    ids = written(gone.toDF("__gone").filter("__gone is not null").distinct(), "gone")
+    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return docs.join(side, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def one_row_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each id. Where no id repeats, the rows are as they were and nothing is shuffled but ids."""
+    again = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again"), "repeated")
+    n = again.count()
+    if not n:
+        return docs
+    side = F.broadcast(again) if n <= MOST_BROADCAST else again
+    match = F.col(id_col) == F.col("__again")
+    return docs.join(side, match, "left_anti").unionByName(docs.join(side, match, "left_semi").dropDuplicates([id_col]))

@@ -197,6 +197,23 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is not ``und``."""
+    held = docs.sparkSession.sparkContext.broadcast(texts)
+    key = hashlib.sha256(json.dumps(texts, sort_keys=True).encode()).hexdigest()
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        parser = cached(f"languages:{key}", lambda: Parser(held.value))
+        for batch in batches:
+            kept = []
+            for _, part in rows_of(batch.select([at, at]), 3_000_000):
+                kept += [g != UNKNOWN for g in parser.predict(part)[0]]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(remainder(F.col("doc_id"), 3) != 1)
 
