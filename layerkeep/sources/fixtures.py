@@ -25,6 +25,10 @@ def _value(kind: str, h: Column) -> Column:
     }[kind]
 
 
+def _element(kind: str, hashed):
+    return lambda k: _value(kind, hashed(k))
+
+
 def generate(spark: SparkSession, rows: int, seed: int = 20260502) -> DataFrame:
     """record_id (decimal(20,0)) and the columns of ``all_types``; scalars null 4 %, lists null 8 % and empty 12 % of the time."""
     base = spark.range(rows)
@@ -36,7 +40,7 @@ def generate(spark: SparkSession, rows: int, seed: int = 20260502) -> DataFrame:
             value = F.when(chance(i) >= 4, _value(f.type, hashed(i)).cast(f.spark_type))
         else:
             size = F.when(chance(i) < 20, 0).otherwise(1 + F.pmod(hashed(i), F.lit(5)))
-            some = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)).cast("int")), lambda k, i=i, f=f: _value(f.type, hashed(i, k)))
+            some = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)).cast("int")), _element(f.type, lambda k, i=i: hashed(i, k)))
             value = F.when(chance(i) < 8, F.lit(None)).when(size == 0, F.array()).otherwise(some).cast(f.spark_type)
         cols.append(value.alias(f.name))
     return base.select(*cols)
