@@ -10,7 +10,7 @@ type, equal values of the item must stand for equal values of the document and
 the other way round. An alignment with a share of at least ``least`` and
 consistent slots is contamination.
 
-Tokens are split at white space and trimmed of punctuation; what is left empty
+Tokens are parted by white space and trimmed of punctuation; what is left empty
 goes. A number begins with a digit and has only digits, ``.``, ``,``, ``:``,
 ``/``, ``-`` or one of the units behind it. A name begins with a capital, has a
 lower-case letter and does not begin a sentence. Windows need half their tokens
@@ -38,8 +38,15 @@ from .common import table, written
 
 WINDOW, LEAST_COVERAGE, LEAST_TOKENS = 8, 0.5, 4
 MOST_BROADCAST = 500_000
-SPLIT = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\f\r"
 TRIM = ".,;:!?\"'()[]{}<>*%&$#@|_-=+~`/\\…«»“”‘’—–"
+#: Stands before a token that begins a sentence.
+MARK = "\x01"
+_T = "".join(f"\\{c}" if c.isascii() else c for c in TRIM)
+_W = r"\x20\x09-\x0D"
+#: What parts tokens: white space with all punctuation around it; and such a stretch that holds the end of a sentence.
+GAP = f"[{_T}]*+[{_W}][{_T}{_W}]*+"
+SENTENCE_GAP = f"[.!?][{_T}]*+[{_W}][{_T}{_W}]*+"
 #: Words that are units of measure.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg ton tons pound pounds ounce ounces l ml liter liters litre litres gallon gallons "
@@ -53,30 +60,53 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SPLIT), lambda t: F.btrim(t, F.lit(TRIM)) != "")
+    """Trimmed tokens; those that begin a sentence carry ``MARK`` before them."""
+    bare = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(TRIM + WHITE))
+    marked = F.concat(F.lit(MARK), F.regexp_replace(bare, F.lit(SENTENCE_GAP), F.lit(f"$0{MARK}")))
+    return F.filter(F.split(marked, GAP), lambda t: ~t.isin("", MARK))
 
 
-def kind_of(token: Column, before: Column, first: Column) -> Column:
-    """The placeholder of a trimmed token, or null."""
-    code = F.ascii(token)
-    digit = (code >= 48) & (code <= 57)
-    number = digit & token.rlike(rf"^[0-9][0-9.,:/-]*({'|'.join(UNITS)})?$")
-    capital = ((code >= 65) & (code <= 90)) | ((code > 127) & (F.lower(F.substring(token, 1, 1)) != F.substring(token, 1, 1)))
-    starts = first | F.endswith(before, F.lit(".")) | F.endswith(before, F.lit("!")) | F.endswith(before, F.lit("?"))
-    name = capital & (token != F.upper(token)) & ~starts
-    return F.when(number, F.lit("<num>")).when(name, F.lit("<name>")).when((F.length(token) <= 7) & F.lower(token).isin(UNITS), F.lit("<unit>"))
+def plain(token: Column) -> Column:
+    return F.lower(F.btrim(token, F.lit(MARK)))
+
+
+def canonical_form(token: Column) -> Column:
+    """A placeholder or the lower-cased token; most tokens begin with a small letter, so these come first."""
+    code, units = F.ascii(token), [*UNITS]
+    word = lambda t: F.when(F.lower(t).isin(units), F.lit("<unit>")).otherwise(F.lower(t))
+    number = lambda t: t.rlike(rf"^[0-9][0-9.,:/-]*({'|'.join(UNITS)})?$")
+    bare = F.substring(token, 2, 1_000_000_000)
+    begins = F.when((F.ascii(bare) >= 48) & (F.ascii(bare) <= 57) & number(bare), F.lit("<num>")).otherwise(word(bare))
+    large = ((code >= 65) & (code <= 90)) | ((code > 127) & (F.lower(F.substring(token, 1, 1)) != F.substring(token, 1, 1)))
+    other = F.when(code == 1, begins).when((code >= 48) & (code <= 57) & number(token), F.lit("<num>")).when(large & (token != F.upper(token)), F.lit("<name>")).otherwise(word(token))
+    return F.when((code >= 97) & (code <= 122), word(token)).otherwise(other)
 
 
 def canonical(raw: Column) -> Column:
-    """Per token its canonical form: a placeholder or the lower-cased token."""
-    each = lambda r: F.transform(r, lambda t, i: let(F.btrim(t, F.lit(TRIM)), lambda b: F.coalesce(kind_of(b, F.get(r, i - 1), i == 0), F.lower(b))))
-    return let(raw, each)
+    return F.transform(raw, canonical_form)
+
+
+def window_hashes(hashes: Column, k: int) -> Column:
+    """Hashes of all windows of ``k`` tokens, in order, from the tokens' hashes.
+
+    A window is made of two shorter ones, so ``k`` tokens take log k passes. The
+    last k - 1 places, which are no windows, are cut off.
+    """
+
+    def of(h: Column, size: int) -> Column:
+        if size == 1:
+            return h
+        half = 1 << (size - 1).bit_length() - 1
+        if size - half == half:
+            return let(of(h, half), lambda x: F.zip_with(x, shift(x, half), lambda a, b: F.xxhash64(a, b)))
+        return F.zip_with(of(h, half), shift(of(h, size - half), half), lambda a, b: F.xxhash64(a, b))
 
+    shift = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+    return let(hashes, lambda h: F.slice(of(h, k), 1, F.greatest(F.size(h) - (k - 1), F.lit(0))))
 
-def window_hashes(tokens: Column, k: int) -> Column:
-    """Hashes of all windows of ``k`` canonical tokens, in order."""
-    of = lambda h: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), of)
+
+def token_hashes(raw: Column) -> Column:
+    return F.transform(raw, lambda t: F.xxhash64(canonical_form(t)))
 
 
 def literal(token: Column) -> Column:
@@ -93,7 +123,7 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 def item_windows(items: DataFrame, k: int, whole: bool) -> DataFrame:
     """w, item_id, q of the items' windows of k tokens with half their tokens literal; ``whole``: of items with k tokens only."""
     own = items.filter(F.col("n_item") == k) if whole else items.filter(F.col("n_item") >= k)
-    rows = own.select("item_id", "item_canon", F.posexplode(window_hashes(F.col("item_canon"), k)).alias("q", "w"))
+    rows = own.select("item_id", "item_canon", F.posexplode(window_hashes(F.transform("item_canon", lambda t: F.xxhash64(t)), k)).alias("q", "w"))
     return rows.filter(2 * F.size(F.filter(F.slice("item_canon", F.col("q") + 1, F.lit(k)), literal)) >= k).select("w", "item_id", "q")
 
 
@@ -104,28 +134,33 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """doc_id, item_id, offset: where windows of both are equal."""
     lengths = [r.n_item for r in items.filter(F.col("n_item") < window).select("n_item").distinct().collect()]  # at most window - 1 values
-    canon = docs.select("doc_id", canonical(raw_tokens(F.col("text"))).alias("canon"))
     out = None
     for k in [window, *sorted(lengths)]:
         sides = written(item_windows(items, k, k < window), "windows")
-        found = canon.select("doc_id", F.posexplode(window_hashes(F.col("canon"), k)).alias("p", "w")).join(small(sides, sides.count()), "w")
+        found = docs.select("doc_id", F.posexplode(window_hashes(token_hashes(raw_tokens(F.col("text"))), k)).alias("p", "w")).join(small(sides, sides.count()), "w")
         found = found.groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("offset")).agg(F.count(F.lit(1)).alias("windows"))
         out = found if out is None else out.unionByName(found)
     return written(out.select("doc_id", "item_id", "offset").distinct(), "alignments")
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """Coverage and slots of alignments that have raw, canon, item_raw, item_canon, offset."""
-    trimmed = lambda t: F.lower(F.btrim(t, F.lit(TRIM)))
-    at = lambda a, i: F.when(i + F.col("offset") >= 0, F.get(a, i + F.col("offset")))
-    each = F.transform(
-        F.sequence(F.lit(0), F.col("n_item") - 1),
-        lambda i: F.struct(
-            (at(F.col("canon"), i) == F.get("item_canon", i)).alias("alike"),
-            F.get("item_canon", i).alias("kind"), trimmed(F.get("item_raw", i)).alias("theirs"), trimmed(at(F.col("raw"), i)).alias("ours"),
-        ),
-    )
-    rows = pairs.withColumn("hits", F.filter(each, lambda x: F.coalesce(x.alike | (x.theirs == x.ours), F.lit(False)))).withColumn("slots", F.filter("hits", lambda x: ~literal(x.kind)))
+    """Coverage and slots of alignments that have text, item_raw, item_canon, n_item, offset.
+
+    Tokens and their forms are bound before the walk over the item's places.
+    """
+
+    def walk(doc: Column) -> Column:
+        def place(i: Column) -> Column:
+            at = lambda a: F.when(i + F.col("offset") >= 0, F.get(a, i + F.col("offset")))
+            theirs, ours = F.get("item_raw", i), at(doc.raw)
+            alike = (at(doc.canon) == F.get("item_canon", i)) | (plain(theirs) == plain(ours))
+            return F.struct(F.coalesce(alike, F.lit(False)).alias("alike"), F.get("item_canon", i).alias("kind"), plain(theirs).alias("theirs"), plain(ours).alias("ours"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.col("n_item") - 1), place), lambda x: x.alike)
+
+    bound = let(raw_tokens(F.col("text")), lambda r: F.struct(r.alias("raw"), canonical(r).alias("canon")))
+    pairs = pairs.withColumn("hits", let(bound, walk)).select("doc_id", "item_id", "n_item", "offset", "hits")
+    rows = pairs.withColumn("slots", F.filter("hits", lambda x: ~literal(x.kind)))
     key = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n] for n in names]))))
     both = key("kind", "theirs", "ours")
     return rows.select(
@@ -143,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     aligned = alignments(rows, items, window)
     n = aligned.count()
     some = rows.withColumnRenamed("doc_id", "d").join(small(aligned, n), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
-    pairs = some.join(small(items, items.count()), "item_id").withColumn("raw", raw_tokens(F.col("text"))).drop("text").withColumn("canon", canonical(F.col("raw")))
+    pairs = some.join(small(items, items.count()), "item_id")
     found = judged(pairs).filter(F.col("consistent") & (F.col("n_matched") >= least * F.col("n_item")))
     best = F.max(F.struct("n_matched", "verbatim", (-F.col("first_token")).alias("at"), "n_item", "n_slots"))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
