@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import cached, id_text, rows_of, table
 
-#: Pieces that a worker keeps; about 300 bytes each.
+#: Pieces that a worker keeps; about 200 bytes each.
 MOST_KEPT = 700_000
 #: Distinct pieces of one recursive query: bounds its working tables.
 QUERY_PIECES = 40_000
@@ -85,7 +85,8 @@ class Codec:
         self.put("merges", pair=pa.array(list(self.pairs), pa.int64()), rank=pa.array(list(self.pairs.values()), pa.int32()))
         self.put("vocabulary", tok=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.kept: dict[str, bytes] = {}  # ids of pieces
+        self.other: dict[str, bytes] = {}  # decoded bytes of pieces that do not decode to themselves
 
     def put(self, name: str, **columns) -> None:
         self.con.register("arrow_rows", pa.table(columns))
@@ -156,7 +157,9 @@ class Codec:
         for k in range(0, len(new), QUERY_PIECES):
             arrays = [np.array(ids[i], "<u4") for i in range(k, min(len(new), k + QUERY_PIECES))]
             for i, (a, b) in enumerate(zip(arrays, self.decode(arrays), strict=True), k):
-                self.kept[new[i]] = (a.tobytes(), b)
+                self.kept[new[i]] = a.tobytes()
+                if b != raw[i]:
+                    self.other[new[i]] = b
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
@@ -164,11 +167,15 @@ class Codec:
         missing = set().union(*cut).difference(self.kept)
         if len(self.kept) + len(missing) > MOST_KEPT:
             self.kept.clear()
+            self.other.clear()
             missing = set().union(*cut)
         self.learn(list(missing))
         for p in cut:
-            both = [self.kept[x] for x in p]
-            yield b"".join([a for a, _ in both]), b"".join([b for _, b in both])
+            ids = b"".join([self.kept[x] for x in p])
+            if self.other and not self.other.keys().isdisjoint(p):
+                yield ids, b"".join([self.other[x] if x in self.other else x.encode("utf-8", "surrogatepass") for x in p])
+            else:
+                yield ids, "".join(p).encode("utf-8", "surrogatepass")
 
 
 def codec(raw_ranks: bytes, pattern: str) -> Codec:

@@ -74,13 +74,18 @@ def rows_of(batch: pa.RecordBatch, most_chars: int = 8_000_000) -> Iterator[tupl
         yield ids.slice(start, len(held)), held
 
 
+def forget() -> None:
+    """Drops what earlier tasks of this Python worker left; operators that keep nothing call it first."""
+    sys.__dict__.pop("_layerkeep_kept", None)
+
+
 def cached(key: str, make: Callable):
-    """A value kept for the life of a Python worker, by key; the newest of each kind (the part before ``:``) only."""
-    held = sys.__dict__.setdefault("_layerkeep_kept", {})
+    """A value kept for the life of a Python worker, one at a time."""
+    held = sys.__dict__.get("_layerkeep_kept", {})
     if key not in held:
-        for old in [k for k in held if k.split(":")[0] == key.split(":")[0]]:
-            del held[old]
-        held[key] = make()
+        forget()
+        held = {key: make()}
+        sys.__dict__["_layerkeep_kept"] = held
     return held[key]
 
 

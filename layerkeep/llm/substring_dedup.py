@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import id_text, partitions, table
+from .common import forget, id_text, table
 
 WINDOW = 50
 #: Bytes of text in a group, and windows in a range, on average.
@@ -98,6 +98,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def blocks(rows: pa.Table, window: int, ranges: int) -> pa.Table:
     """A group's distinct hashes with their least ids, a row for each range."""
+    forget()
     own = Group(rows, window)
     cuts = own.cuts(ranges)
     group = rows.column("grp")[0].as_py()
