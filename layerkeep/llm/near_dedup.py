@@ -14,7 +14,8 @@ Candidates are confirmed on full sets, in two rounds. First each class's best
 candidate; that settles most groups. Then all candidates that still lie in
 different components. Regions with more classes than neighbours reach, and with
 more than one component left, get an exact join on prefixes of their sets (the
-rarest shingles first), so no cap loses a link there.
+rarest shingles first), a node against whole blocks of nodes, so no cap loses a
+link there.
 
 A pair of similarity s shares a region in no tree with probability
 (1 - s^LEAST_DEPTH)^TREES: 2e-6 at 0.75, and it falls fast above.
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash
-from .common import id_text, join_small_groups, partitions, rows_of, table, written
+from .common import forget, id_text, join_small_groups, partitions, rows_of, table, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 6, 3, 2
+#: Nodes in a block, and nodes held against it in one task, on average.
+BLOCK, SIDE = 64, 512
 #: Ids broadcast at most, counted first; beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -83,6 +86,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
+        forget()
         for batch in batches:
             for ids, texts in rows_of(batch, 3_000_000):
                 sets = shingle_sets(texts, size)
@@ -186,39 +190,93 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def uncovered(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """node, component of the members of regions that have more than one component."""
+    """node, component, region of the members of regions that have more than one component; one of its regions for each."""
     rows = regions.join(parts, regions.a == parts.node, "left").select("region", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x < y")
-    return join_small_groups(rows, mixed.select("region", "size"), ["region"], "size", 0 or rows.count(), "left_semi").select("node", "component").distinct()
+    left = join_small_groups(rows, mixed.select("region", "size"), ["region"], "size", rows.count(), "left_semi")
+    return left.groupBy("node", "component").agg(F.min("region").alias("region"))
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of ``nodes`` in different components that can be similar enough.
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """node, component, weight (its component's nodes in ``rest``), block: about ``BLOCK`` nodes each, of one large component or of one region."""
+    n = rest.count()
+    weighed = join_small_groups(rest, rest.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), ["component"], "weight", n)
+    grouped = weighed.withColumn("grp", F.when(F.col("weight") >= BLOCK, F.xxhash64("component", F.lit(1))).otherwise(F.xxhash64("region")))
+    sized = join_small_groups(grouped, grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"], "size", n)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    return sized.select("node", "component", "weight", F.xxhash64("grp", part).alias("block"))
 
-    Similar sets share a shingle among the first n - ceil(percent n / 100) + 1 of
-    each in any common order; the order is rarest first, so few others do.
+
+def prefixes(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """h, node, component, weight, block: the first n - ceil(percent n / 100) + 1 shingles of each set, rarest first, that others have too.
+
+    Similar sets share one of these in any order that is common to all.
     """
-    unpacked = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_unpack, "doc_id long, component long, n long, h long")
-    rows = written(unpacked, "shingles")
+    rows = written(blocks.join(sets, blocks.node == sets.doc_id).select(*blocks.columns, "shingles").mapInArrow(_unpack, f"{_BLOCKS}, n long, h long"), "shingles")
     spread = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = join_small_groups(rows, spread, ["h"], "df", rows.count())
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = written(ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1)).select("h", "doc_id", "component", "n"), "prefixes")
-    mixed = heads.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
-    left = heads.join(mixed, "h").select("h", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = left.select("h", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, "h").filter(near).select("a", "b").distinct()
+    heads = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1))
+    return written(heads.select("h", "node", "component", "weight", "block"), "prefixes")
+
+
+_BLOCKS = "node long, component long, weight long, block long"
 
 
 def _unpack(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "component", "weight", "block", "n", "h")])
     for batch in batches:
-        for doc_id, component, raw in zip(*(batch.column(c) for c in ("doc_id", "component", "shingles")), strict=True):
-            h = np.frombuffer(raw.as_buffer(), "<i8")
-            n = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id.as_py())), pa.array(np.full(n, component.as_py())), pa.array(np.full(n, n)), pa.array(h)], schema=schema)
+        sets = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        cols = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "component", "weight", "block")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, np.repeat(sizes, sizes), np.concatenate(sets))], schema=schema)
+
+
+def block_links(percent: int):
+    """Over the nodes of a block and the nodes to hold against it: a link of each of these with each component that has a similar set."""
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = [], []
+        if own.num_rows and others.num_rows:
+            sets = [np.frombuffer(x, "<u8") for x in own.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            nodes, parts = own.column("node").to_numpy(), own.column("component").to_numpy()
+            for node, part, raw in zip(*(others.column(c).to_pylist() for c in ("other", "other_component", "other_shingles")), strict=True):
+                s = np.frombuffer(raw, "<u8")
+                place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                both = np.bincount(owner[s[place] == flat], minlength=len(sets))
+                for i in np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (parts != part)):
+                    a.append(node)
+                    b.append(nodes[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between different components of ``rest``, at least one for each node and component that it has a similar set in.
+
+    A node is held against whole blocks of larger components: the join of
+    prefixes makes a row for a node and a block, not for each pair of nodes,
+    and the sets of a block travel once for ``SIDE`` nodes.
+    """
+    blocks = written(in_blocks(rest), "blocks")
+    heads = prefixes(blocks, sets, percent)
+    mixed = heads.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
+    heads = heads.join(mixed, "h")
+    mark = F.struct("weight", "component")
+    theirs = heads.groupBy("h", "block").agg(F.max(mark).alias("most"))
+    met = heads.select("h", "node", mark.alias("mark")).join(theirs, "h").filter(F.col("mark") < F.col("most")).select("node", "block").distinct()
+    met = written(met, "met")
+    parts = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts"))
+    full = blocks.select("node", "component", "block").join(sets, F.col("node") == F.col("doc_id")).select("node", "component", "block", "shingles")
+    others = met.join(parts, "block").join(full.drop("block"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = full.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = {"block": "to_block", "part": "to_part", "node": "other", "component": "other_component", "shingles": "other_shingles"}
+    others = others.select(*[F.col(k).alias(v) for k, v in names.items()])
+    return own.drop("parts").groupBy("block", "part").cogroup(others.groupBy("to_block", "to_part")).applyInArrow(block_links(percent), "a long, b long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -237,7 +295,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     parts = components(links)
     rest = written(uncovered(regions, parts), "uncovered")
     if rest.count():
-        links = written(links.unionByName(confirmed(prefix_pairs(rest, sets, percent), sets, percent)), "confirmed")
+        links = written(links.unionByName(rest_links(rest, sets, percent)), "confirmed")
         parts = components(links)
     return parts
 
