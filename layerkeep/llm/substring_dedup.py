@@ -37,7 +37,7 @@ from .common import forget, id_text, table
 
 WINDOW = 50
 #: Bytes of text in a group, and windows in a range, on average.
-GROUP_BYTES, RANGE_BYTES = 12_000_000, 12_000_000
+GROUP_BYTES, RANGE_BYTES = 5_000_000, 8_000_000
 LAST = np.iinfo(np.int64).max
 
 
