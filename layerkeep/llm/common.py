@@ -74,6 +74,17 @@ def rows_of(batch: pa.RecordBatch, most_chars: int = 8_000_000) -> Iterator[tupl
         yield ids.slice(start, len(held)), held
 
 
+def least_hashes(order: Column, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash is small enough to be among the ``wanted`` least of ``rows``.
+
+    Lets half as many again and 200 more pass, which the least ones are among
+    but with a chance far below that of a hash collision; so the exact choice
+    has a bounded number of rows to rank, whatever the input.
+    """
+    share = min(1.0, (1.5 * wanted + 200) / max(1, rows))
+    return F.lit(True) if share >= 1 else order <= F.lit(int(-(2**63) + share * 2**64))
+
+
 def forget() -> None:
     """Drops what earlier tasks of this Python worker left; operators that keep nothing call it first."""
     sys.__dict__.pop("_layerkeep_kept", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, remainder, rows_of, table
 
 #: Bounds of the sample: documents for each language, characters taken of each, characters in all, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL, MOST_LANGUAGES = 48, 2_500, 40_000, 64
@@ -44,14 +44,16 @@ def sample(training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Sample text by language: the documents whose hashed ids are least, so any size gives as many.
 
     At most ``MOST_LANGUAGES`` x ``SAMPLE_DOCS`` documents are collected. Ids are
-    chosen first, without texts; Spark keeps the best rows of each partition
-    before it shuffles them.
+    chosen first, without texts; rows whose hash cannot be among the least go
+    before the ranking, which so has a bounded number of rows.
     """
     lang, order = F.col(lang_col), F.xxhash64(F.col(id_col).cast("long"), F.lit(7))
     rows = training.filter(lang.isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), lang.alias("g"), order.alias("o"))
     common = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(MOST_LANGUAGES)
-    languages = [r.g for r in common.collect()]
-    chosen = rows.filter(F.col("g").isin(languages)).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "i")))
+    near = F.lit(False)
+    for r in common.collect():
+        near = near | (F.col("g") == r.g) & least_hashes(F.col("o"), SAMPLE_DOCS, r["count"])
+    chosen = rows.filter(near).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "i")))
     ids = chosen.filter(F.col("n") <= SAMPLE_DOCS).select("i", "g", "n")
     text = F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")
     got = training.filter(lang.isNotNull()).join(F.broadcast(ids), (F.col(id_col).eqNullSafe(F.col("i"))) & (lang == F.col("g"))).select("g", "n", text)

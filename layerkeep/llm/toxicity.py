@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, remainder, rows_of, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_400, 3_600, 20_000
 #: Lengths of word beginnings that may enter the lexicon; its most entries; words of an exception phrase's entry.
@@ -212,8 +212,12 @@ def learn(rows: list[tuple[str, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """(text, label) of the sampled rows; at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` of them reach the driver."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").cast("int").alias("y"))
-    ranked = known.withColumn("o", F.xxhash64(F.col("i"), F.lit(11))).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("o", "i")))
-    chosen = ranked.filter(F.col("n") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)).filter(F.col("n") <= max(SAMPLE_TOXIC, SAMPLE_CLEAN))
+    wanted = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
+    near = F.lit(False)
+    for r in known.groupBy("y").count().collect():  # two rows at most
+        near = near | (F.col("y") == r.y) & least_hashes(F.col("o"), wanted[r.y], r["count"])
+    ranked = known.withColumn("o", F.xxhash64(F.col("i"), F.lit(11))).filter(near).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("o", "i")))
+    chosen = ranked.filter(F.col("n") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN))
     text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("t")
     got = docs.join(F.broadcast(chosen.select("i", "y", "n")), docs.doc_id == F.col("i")).select("y", "n", text)
     return [(r.t, r.y) for r in sorted(got.collect(), key=lambda r: (r.n, r.y, r.t))]
