@@ -67,6 +67,7 @@ def validate(batch: DataFrame) -> None:
     seen = batch.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("topics"), F.min("partition").alias("p"), F.min("offset").alias("low"), F.max("offset").alias("high"),
         F.bool_or(F.col("pk").isNull()).alias("no_key"),
+        F.min("seq").alias("first"), F.max("seq").alias("last"),
     ).first()
     if not seen.n:
         return
@@ -76,6 +77,8 @@ def validate(batch: DataFrame) -> None:
         raise InvalidArgument("a source position is negative")
     if seen.high == MAX_OFFSET:
         raise InvalidArgument("an offset has no successor")
+    if seen["first"] is None or seen["first"] < 0 or seen.last >= 1 << 44:
+        raise InvalidArgument("a message's seq is out of range")
     if seen.no_key:
         raise InvalidArgument("a key is no unsigned 64-bit number")
 

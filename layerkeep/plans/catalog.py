@@ -137,10 +137,7 @@ def mget_table(spark, d):
 
 def snapshot_sorted(spark, d):
     rows = overlay.sorted_rows(full_layer(spark, d).withColumn("pk", F.when(F.col("pk") % 2 == 0, F.col("pk")).otherwise(-F.col("pk"))))
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.orderBy(hashing.unsigned_order(F.col("pk")))).cast("long")
-    return rows.select(place.alias("place"), hashing.key_unsigned(F.col("pk")).cast("string").alias("pk"))
+    return rows.select(hashing.key_unsigned(F.col("pk")).cast("string").alias("pk"), F.col("row.a").alias("a"))
 
 
 # -- fields --------------------------------------------------------------------------------------------------------
@@ -449,7 +446,7 @@ def oracle_sql() -> dict[str, str]:
         "point_get": f"SELECT * FROM ({visible}) WHERE pk = 42",
         "mget_order_dups_misses": f"SELECT w.pos, w.pk, v.pk IS NOT NULL AS found, v.a, v.b FROM (VALUES {', '.join(f'({i}::BIGINT, {k}::BIGINT)' for i, k in enumerate(WANTED))}) w(pos, pk) LEFT JOIN ({visible}) v USING (pk)",
         "mget_table": f"SELECT o_orderkey AS pos, o_custkey AS pk, v.a, v.b FROM orders LEFT JOIN ({sql_overlay(RT, CD, FS, tail=pab)}) v ON v.pk = o_custkey",
-        "snapshot_sorted": "SELECT row_number() OVER (ORDER BY u) AS place, u::VARCHAR AS pk FROM (SELECT CASE WHEN c_custkey % 2 = 0 OR c_custkey = 0 THEN c_custkey::HUGEINT ELSE 18446744073709551616::HUGEINT - c_custkey END AS u FROM customer)",
+        "snapshot_sorted": "SELECT (CASE WHEN c_custkey % 2 = 0 THEN c_custkey::HUGEINT ELSE 18446744073709551616::HUGEINT - c_custkey END)::VARCHAR AS pk, c_mktsegment AS a FROM customer",
         "has_get_default": """SELECT c_custkey AS pk, c_custkey % 3 <> 0 AS has_segment, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'none' END AS segment,
             c_custkey % 5 <> 0 AS has_balance, CASE WHEN c_custkey % 5 <> 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) END AS balance,
             c_custkey % 2 = 0 AS has_nation, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 99 END AS nation, false AS has_unknown FROM customer""",

@@ -32,6 +32,8 @@ from ..sources.artifact import Artifact, Progress, read_shards, write_artifact
 from ..sources.files import Files, check_uri
 from ..sources.update_log import Consumer, behind, check_poll, merged_progress
 
+#: Messages of a batch have a seq below this.
+BATCH_SEQ = 1 << 44
 #: Keys for each shard that catching up after a load may bring.
 CATCH_UP_CAPACITY = 1_024
 
@@ -272,24 +274,24 @@ class LayeredIndex:
     def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...]) -> str:
         """Decodes, checks and writes a batch for ``target``; the folder. Nothing is published."""
         rows = decode_frames(messages, schema) if "payload" in messages.columns else messages.withColumn("error", F.lit(None).cast("string"))
-        base = max((s.realtime.stats.published_rows for s in target if s.realtime), default=0)
-        dealt = with_shard(rows, self.shards, seed=self.seed, version=self.hash_version).withColumn("seq", F.col("seq") + base * 2)
+        dealt = with_shard(rows, self.shards, seed=self.seed, version=self.hash_version)
         folder = f"{self.work}/realtime/{uuid.uuid4().hex}"
         dealt.select("topic", "partition", "offset", "seq", "pk", "row", "shard_id", "error").write.parquet(f"{folder}-checked")
         checked = self.spark.read.parquet(f"{folder}-checked")
         updates.validate(checked)
+        known = tuple(sorted({f for s in target if s.realtime for f in s.realtime.folders}))
+        checked = checked.withColumn("seq", F.col("seq") + len(known) * BATCH_SEQ)  # later batches arrive later
         if bad := checked.filter(F.col("error").isNotNull()).orderBy("seq").select("error").first():
             code, _, message = bad.error.partition(": ")
             raise (InvalidArgument if code == "invalid_argument" else FailedPrecondition)(message)
         kept = checked.drop("error")
         both = kept
-        known = tuple(sorted({f for s in target if s.realtime for f in s.realtime.folders}))
         if known:
             both = kept.unionByName(self.spark.read.schema(log_type(schema)).parquet(*known))
         if updates.conflicts(both).first():
             raise FailedPrecondition("updates of one key come from different partitions")
         updates.check_capacity(both, min(s.realtime.capacity for s in target if s.realtime))
-        kept.repartition("shard_id").sortWithinPartitions("shard_id", "pk").write.parquet(folder)
+        kept.repartitionByRange("shard_id", "pk", "offset").sortWithinPartitions("shard_id", "pk").write.parquet(folder)  # a hot key spreads over tasks
         Files(self.spark).delete(f"{folder}-checked")
         return folder
 

@@ -89,21 +89,22 @@ class LogConsumer:
         self.next = dict(positions)
 
     def poll(self, max_messages: int) -> DataFrame | None:
-        """The next messages of all partitions, at most so many of each, in offset order as seq; None if there are none.
+        """The next messages of all partitions, at most so many of each; None if there are none.
 
-        The positions move on; what was polled is consumed again unless committed.
+        seq is the order within a partition, which is all that updates of one key
+        need. The positions move on; what was polled is consumed again unless committed.
         """
         check_poll(max_messages)
         start = F.lit(0).cast("long")
         for (t, p), o in self.next.items():
             start = F.when((F.col("topic") == t) & (F.col("partition") == p), F.lit(o).cast("long")).otherwise(start)
         rank = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
-        rows = self.messages().filter(F.col("offset") >= start).withColumn("__n", rank).filter(F.col("__n") <= max_messages).drop("__n")
+        rows = self.messages().filter(F.col("offset") >= start).withColumn("seq", rank.cast("long")).filter(F.col("seq") <= max_messages)
         ends = rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("o")).collect()  # one row for each partition
         if not ends:
             return None
         self.next |= {(r.topic, r.partition): r.o for r in ends}
-        return parsed(rows).withColumn("seq", F.row_number().over(Window.orderBy("offset", "partition")).cast("long"))
+        return parsed(rows)
 
     def commit(self, positions: dict[tuple[str, int], int]) -> None:
         now = self.committed() | positions
