@@ -1,0 +1,22 @@
+import pytest
+
+LONG = "lorem ipsum dolor " * 20_000
+
+
+@pytest.fixture(scope="session")
+def messy(spark):
+    """Rows with nulls anywhere, empty and very long texts, ties, repeated rows, and columns that clash with the operators' own."""
+    rows = [
+        (1, "the cat sat on the mat and then it slept all day", "en", "a"), (2, "the cat sat on the mat and then it slept all day", "en", "b"), (2, "the cat sat on the mat and then it slept all day", "en", "b"),
+        (3, None, "en", "a"), (4, "", None, None), (5, " \n\t ", "en", "a"), (None, "a row without an id", "en", "a"), (None, None, None, None), (6, LONG, "en", "c"), (7, LONG + "end", "en", "c"),
+        (8, "1234 5678 ... !!!", "en", "a"), (9, "naïve café – 漢字 😀\n\n漢字", None, "a"), (10, "x", "de", "a"), (11, "\x00\x01 odd \x7f", "en", "a"),
+    ]
+    df = spark.createDataFrame([(*r, 7, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, grp string")
+    for name in ("h", "n", "node", "digest", "row_key", "site", "block", "component", "kept", "hash", "ids", "score", "item_id", "offset", "w", "raw", "tokens"):
+        df = df.withColumn(name, df.grp)
+    return df
+
+
+@pytest.fixture(scope="session")
+def nothing(spark, messy):
+    return spark.createDataFrame([], messy.schema)
