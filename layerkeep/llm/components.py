@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(MOST_ROUNDS):
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = written(_small_star(_large_star(now)).distinct(), "links")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == mark:
             stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))

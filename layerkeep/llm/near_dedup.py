@@ -11,7 +11,7 @@ that is everybody, in a dense one the classes with the longest common prefixes,
 which is depth that adapts to the region.
 
 Candidates are confirmed on full sets, in two rounds. First each class's best
-candidate; that settles most groups. Then all candidates that still lie in
+candidates; that settles most groups. Then all candidates that still lie in
 different components. Regions with more classes than neighbours reach, and with
 more than one component left, get an exact join on prefixes of their sets (the
 rarest shingles first), a node against whole blocks of nodes, so no cap loses a
@@ -43,8 +43,10 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 6, 3, 2
+#: Candidates of a class that are confirmed first.
+BEST = 3
 #: Nodes in a block, and nodes held against it in one task, on average.
-BLOCK, SIDE = 64, 512
+BLOCK, SIDE = 256, 256
 #: Ids broadcast at most, counted first; beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -286,18 +288,34 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     regions = found.filter("kind = 1").select("region", "a")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(regions.select("a")).distinct()
     sets = written(sets_of(docs, written(ends, "ends"), size).dropDuplicates(["doc_id"]), "sets")
-    best = lambda x, y: pairs.select(F.col(x).alias("u"), F.col(y).alias("v"), "trees")
-    first = best("a", "b").unionByName(best("b", "a")).groupBy("u").agg(F.max(F.struct("trees", -F.col("v"))).alias("m"))
-    first = first.select("u", (-F.col("m").getField("col2")).alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = written(confirmed(first, sets, percent), "confirmed")
-    parts = components(links)
-    links = written(links.unionByName(confirmed(apart(pairs, parts), sets, percent)), "confirmed")
-    parts = components(links)
+    first = written(best_pairs(pairs), "first")
+    parts = written(components(written(confirmed(first, sets, percent), "confirmed")), "parts")
+    more = confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), parts), sets, percent)
     rest = written(uncovered(regions, parts), "uncovered")
     if rest.count():
-        links = written(links.unionByName(rest_links(rest, sets, percent)), "confirmed")
-        parts = components(links)
-    return parts
+        more = more.unionByName(rest_links(rest, sets, percent))
+    return joined_up(parts, written(more, "confirmed"))
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """The ``BEST`` candidates of each node that share most trees with it; a node has no more than 4 x TREES x NEIGHBOURS."""
+    side = lambda x, y: pairs.select(F.col(x).alias("u"), F.col(y).alias("v"), "trees")
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("trees"), "v"))
+    best = side("a", "b").unionByName(side("b", "a")).withColumn("place", place).filter(F.col("place") <= BEST)
+    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def joined_up(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more links: only the components that they join are gone over again."""
+    if links.isEmpty():
+        return parts
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = parts.unionByName(ends.join(parts, "node", "left_anti").select("node", F.col("node").alias("component")))
+    for end in ("a", "b"):
+        links = links.join(known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
+    again = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    again = again.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return known.join(again, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
