@@ -125,7 +125,7 @@ def compile_template(template: str) -> Automaton:
                 nxt = out.state()
                 out.step[here][w] = nxt
                 here = nxt
-    if here != len(out.step) - 1 or not out.step[0] and not out.skip[0] and not out.any_[0]:
+    if opened or here != len(out.step) - 1 or not out.step[0] and not out.skip[0] and not out.any_[0]:
         raise ValueError(f"not a template: {template!r}")
     return out
 
