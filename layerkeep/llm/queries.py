@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, oracles, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,13 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_line_dedup": line_dedup.op8_line_dedup,
-        "op10_near_dedup": near_dedup.op10_near_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op2_exact_dedup": exact_dedup.ORACLE,
-        "op8_line_dedup": line_dedup.ORACLE,
-    }
+    return oracles.oracle_sql()
