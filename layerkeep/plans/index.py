@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Cancelled, FailedPrecondition, InvalidArgument, LayerError, Status
+from ..errors import Cancelled, FailedPrecondition, InvalidArgument, LayerError, Status, Unavailable
 from ..functions.fields import payload_bytes, project
 from ..functions.hashing import check_shard_count, shard_for, with_shard
 from ..functions.wire import decode_frames
@@ -146,8 +146,10 @@ class LayeredIndex:
     def __init__(
         self, spark: SparkSession, work: str, shards: int = 128, seed: int = 0, hash_version: int = 1, mode: Mode = Mode.FULL_WITH_REALTIME_AND_COMPACTION,
         thresholds: maintain.Thresholds = maintain.Thresholds(), consumer: Callable[[], Consumer] | None = None, schemes: tuple[str, ...] = ("file",),
+        catch_up_seconds: float | None = None,
     ):
-        """``work`` is a folder that the driver and executors share; ``consumer`` makes the consumer that catches up after a load."""
+        """``work`` is a folder that the driver and executors share; ``consumer`` makes the consumer that catches up after a load, within ``catch_up_seconds`` if given."""
+        self.catch_up_seconds = catch_up_seconds
         self.spark, self.work, self.mode, self.thresholds, self.consumer, self.schemes = spark, work.rstrip("/"), mode, thresholds, consumer, schemes
         self.shards, self.seed, self.hash_version = check_shard_count(shards), seed, hash_version
         self._directory: tuple[Shard, ...] = tuple(Shard(k) for k in range(shards))
@@ -263,6 +265,11 @@ class LayeredIndex:
             raise FailedPrecondition("nothing is loaded")
         return overlay.lookup(layers, keys, n_keys, fields)
 
+    def prewarm(self) -> None:
+        """Reads every column of every layer once, so that file systems and caches hold them."""
+        for x in self.layers()[0]:
+            x.write.format("noop").mode("overwrite").save()
+
     # -- updates ---------------------------------------------------------------------------------------------------
 
     def open_realtime(self, schema: Schema, capacity: int) -> None:
@@ -487,8 +494,11 @@ class LayeredIndex:
         consumer.seek(start)
         consumer.commit(start)
         target = merged_progress(list(m.progress), consumer.progress())
+        began = time.monotonic()
         while behind(target):
             self._stop_if_cancelled(load_id)
+            if self.catch_up_seconds is not None and time.monotonic() - began > self.catch_up_seconds:
+                raise Unavailable("catching up took too long")
             self._note(load_id, progress=tuple(target))
             batch = consumer.poll(100_000)
             if batch is not None:

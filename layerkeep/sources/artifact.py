@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument, NotFound
 from ..functions.hashing import check_shard_count, with_shard
+from ..operators.overlay import duplicate_keys
 from ..schema import Schema
 from .files import Files, check_uri
 
@@ -107,9 +108,9 @@ def shard_sums(rows: DataFrame) -> DataFrame:
 
 def write_artifact(
     rows: DataFrame, path: str, schema: Schema, artifact_id: str, shard_count: int = 128, hash_seed: int = 0, hash_version: int = 1,
-    progress: tuple[Progress, ...] | None = None, shard: int | None = None,
+    progress: tuple[Progress, ...] | None = None, shard: int | None = None, bloom: bool = False,
 ) -> Manifest:
-    """Writes (pk, row) as an artifact; all shards, or one of them."""
+    """Writes (pk, row) as an artifact; all shards, or one of them. ``bloom`` adds a filter of keys to every row group, for lookups of keys that are mostly missing."""
     spark, files = rows.sparkSession, Files(rows.sparkSession)
     if files.exists(f"{path}/manifest.json"):
         raise FailedPrecondition(f"{path} holds an artifact; artifacts are immutable")
@@ -120,7 +121,8 @@ def write_artifact(
         dealt = dealt.filter(F.col("shard_id") == shard)
     # Ranges of (shard, key): a shard that is larger than others is spread over several tasks and files.
     laid = dealt.repartitionByRange("shard_id", "pk").sortWithinPartitions("shard_id", "pk")
-    laid.write.partitionBy("shard_id").parquet(f"{path}/rows")
+    writer = laid.write.partitionBy("shard_id").option("parquet.bloom.filter.enabled#pk", str(bloom).lower())
+    writer.parquet(f"{path}/rows")
     seen = {r.shard_id: r for r in shard_sums(read_shards(spark, path, schema)).collect()}  # one row for each shard
     shards = range(shard_count)
     made = Manifest(
@@ -164,3 +166,12 @@ class Artifact:
         for k in shards if shards is not None else range(self.manifest.shard_count):
             if seen.get(k, (0, "0")) != (self.manifest.rows[k], self.manifest.checksums[k]):
                 raise FailedPrecondition(f"shard {k} differs from its manifest")
+
+    def check_keys(self, spark: SparkSession) -> None:
+        """Raises if a key lies in another shard than its hash says, or occurs twice; needs a shuffle by key."""
+        m = self.manifest
+        rows = with_shard(self.rows(spark).select("shard_id", "pk"), m.shard_count, out="__own", seed=m.hash_seed, version=m.hash_version)
+        if wrong := rows.filter("shard_id <> __own").first():
+            raise FailedPrecondition(f"a key of shard {wrong['__own']} lies in shard {wrong.shard_id}")
+        if again := duplicate_keys(rows).first():
+            raise FailedPrecondition(f"key {again.pk & (2**64 - 1)} occurs {again.n} times")

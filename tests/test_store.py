@@ -87,6 +87,7 @@ def test_unsigned_keys(spark):
     df = spark.createDataFrame([(str(k),) for k in keys], "t string").select("t", hashing.key_bits(F.col("t").cast("decimal(20,0)")).alias("pk"))
     rows = hashing.with_hash(df, seed=17).select("t", "hash", hashing.key_unsigned(F.col("pk")).cast("string").alias("back"), hashing.unsigned_order(F.col("pk")).alias("o")).collect()
     assert all(r.t == r.back and hashing.unsigned(r.hash) == hashing.stable_hash(int(r.t), 17) for r in rows)
+    assert [r.t for r in overlay.sorted_rows(df).collect()] == [str(k) for k in keys]
     assert sorted(rows, key=lambda r: r.o) == sorted(rows, key=lambda r: int(r.t))
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
@@ -147,6 +148,7 @@ def test_build_of_all_types(spark, tmp_path):
     assert (done.rows, done.manifest.schema.version, set(done.rows_by_shard)) == (500, 12, {0, 1, 2, 3})
     opened = Artifact.open(spark, f"file://{tmp_path}/out", shard_count=4, hash_seed=17)
     opened.verify(spark)
+    opened.check_keys(spark)
     ours = opened.rows(spark).select("pk", "row.*")
     theirs = made.select(hashing.key_bits(F.col("record_id")).alias("pk"), *[f.name for f in s.fields])
     assert ours.exceptAll(theirs).count() == 0 and theirs.exceptAll(ours).count() == 0
@@ -173,9 +175,28 @@ def test_artifacts_fail_closed(spark, tmp_path):
             Artifact.open(spark, bad)
     with pytest.raises(InvalidArgument):
         write_artifact(layer(spark, FULL), f"{tmp_path}/b", S, "b", 4, progress=(Progress("t", 0, 5, 8), Progress("t", 0, 6, 8)))
+    opened.check_keys(spark)
     layer(spark, {77: (1, "more")}).withColumn("shard_id", F.lit(0)).write.mode("append").partitionBy("shard_id").parquet(f"{path}/rows")
     with pytest.raises(FailedPrecondition):
         opened.verify(spark)
+    write_artifact(layer(spark, FULL), f"{tmp_path}/c", S, "c", 2, bloom=True)
+    moved = Artifact.open(spark, f"{tmp_path}/c")
+    k = moved.rows(spark).first()
+    layer(spark, {k.pk: (0, "again")}).withColumn("shard_id", F.lit(1 - k.shard_id)).write.mode("append").partitionBy("shard_id").parquet(f"{tmp_path}/c/rows")
+    with pytest.raises(FailedPrecondition):
+        moved.check_keys(spark)
+
+
+def test_catching_up_may_take_too_long(spark, tmp_path):
+    path, log = f"{tmp_path}/full", f"{tmp_path}/log"
+    write_artifact(layer(spark, FULL), path, S, "a", 2, 7, progress=(Progress("t", 0, 0, 9),))
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, consumer=lambda: LogConsumer(spark, log, ConsumerConfig("local", "g", ("t",))), catch_up_seconds=0.3)
+    state = index.wait(index.load_async(path))
+    assert state.code is LoadCode.FAILED and "too long" in state.last_error
+    slow = LayeredIndex(spark, f"{tmp_path}/w2", 2, 7, consumer=lambda: LogConsumer(spark, log, ConsumerConfig("local", "g", ("t",))))
+    load = slow.load_async(path)
+    assert slow.cancel_load(load) and slow.wait(load).code is LoadCode.CANCELLED and not slow.load_state(load).cutover
+    slow.close()
 
 
 # -- index ---------------------------------------------------------------------------------------------------------
@@ -232,6 +253,7 @@ def test_catch_up_maintenance_and_evolution(spark, tmp_path, snapshot):
     index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, consumer=lambda: LogConsumer(spark, log, ConsumerConfig("local", "g", ("t",))))
     state = index.wait(index.load_async(snapshot))
     assert state.code is LoadCode.SUCCEEDED and state.progress == (Progress("t", 0, 2, 2),)
+    index.prewarm()
     assert tuple(index.get(3)) == (1, "rt") and tuple(index.get(50)) == (2, None) and index.get(4).score == 40
     assert index.apply(messages(spark, [(0, 1, 3, {"score": 9}), (0, 5, 4, {"score": 8})])) == {("t", 0): 6}
     before = seen(index.visible())
