@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cached, id_text, rows_of, table
+from .common import cached, id_text, leaving_tidy, rows_of, table
 
 #: Pieces that a worker keeps; about 200 bytes each.
-MOST_KEPT = 700_000
+MOST_KEPT = 400_000
 #: Distinct pieces of one recursive query: bounds its working tables.
-QUERY_PIECES = 40_000
+QUERY_PIECES = 20_000
 #: A query takes a step for each contraction and keeps every step's rows, so longer pieces (bytes) go to ``contract_long``.
 LONG_PIECE = 512
 
@@ -79,7 +79,7 @@ class Codec:
 
         ranks = parse_ranks(raw_ranks)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = dict(pairs)
         self.put("merges", pair=pa.array(list(self.pairs), pa.int64()), rank=pa.array(list(self.pairs.values()), pa.int32()))
@@ -190,12 +190,12 @@ def _run(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, d
     def run(batches):
         own = codec(ranks.value, pattern)
         for batch in batches:
-            for ids, texts in rows_of(batch, 4_000_000):
+            for ids, texts in rows_of(batch, 1_500_000):
                 got = [answer(*x) for x in own.encode(texts)]
                 cols = [pa.array([g[k] for g in got], f.type) for k, f in enumerate(list(schema)[1:])]
                 yield pa.RecordBatch.from_arrays([ids, *cols], schema=schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, ddl)
+    return id_text(docs, id_col, text_col).mapInArrow(leaving_tidy(run), ddl)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
                 many = [np.array(x or [], np.int32) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(many), pa.binary())], schema=schema)
 
-    return rows.selectExpr(f"cast({id_col} as long) doc_id", f"cast({ids_col} as array<int>) ids").mapInArrow(run, "doc_id long, bytes binary")
+    return rows.selectExpr(f"cast({id_col} as long) doc_id", f"cast({ids_col} as array<int>) ids").mapInArrow(leaving_tidy(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

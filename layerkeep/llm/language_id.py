@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, least_hashes, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, table
 
 #: Bounds of the sample: documents for each language, characters taken of each, characters in all, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL, MOST_LANGUAGES = 48, 2_500, 40_000, 64
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
                 lang, score = parser.predict(held_texts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=SCHEMA)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_text(docs, id_col, text_col).mapInArrow(leaving_tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -213,7 +213,7 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "tex
                 kept += [g != UNKNOWN for g in parser.predict(part)[0]]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(leaving_tidy(run), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

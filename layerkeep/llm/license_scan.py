@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text, rows_of, table
+from .common import id_text, leaving_tidy, rows_of, table
 
 #: Phrases and their labels.
 BASE = {
@@ -193,7 +193,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                 cols = zip(*(answer(scanner, words_of(x or "")) for x in texts), strict=True)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(cols, list(SCHEMA)[1:], strict=True))], schema=SCHEMA)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, DDL)
+    return id_text(docs, id_col, text_col).mapInArrow(leaving_tidy(run), DDL)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

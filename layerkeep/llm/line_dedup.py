@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, join_small_groups, table, written
+from .common import WHITE, join_small_groups, leaving_tidy, table, written
 
 SITES = 10
 #: log2 of a sketch's registers, and the share around the threshold that is counted exactly: six standard errors.
@@ -87,7 +87,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     flagged = join_small_groups(lines.drop("site"), gone, ["h1", "h2"], "n_rows", total, "left_semi")
     places = flagged.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_set("place").alias("places"))
     both = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
-    return both.select("doc_id", "text", "places").mapInArrow(cut(with_text), DDL)
+    return both.select("doc_id", "text", "places").mapInArrow(leaving_tidy(cut(with_text)), DDL)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordhash
-from .common import forget, id_text, join_small_groups, partitions, rows_of, table, written
+from .common import forget, id_text, join_small_groups, leaving_tidy, partitions, rows_of, table, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 made = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(rows).tobytes()) if len(s) else (0, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.mapInArrow(leaving_tidy(run), "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 PAIRS = "kind int, region binary, a long, b long"
@@ -150,7 +150,7 @@ def forest(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.select("rep", "n_shingles", "signature", tree)
     rows = rows.select("tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("word"), "rep", "n_shingles")
     laid = rows.repartitionByRange(partitions(spark), "tree", "word", "rep").sortWithinPartitions("tree", "word", "rep")
-    return laid.mapInArrow(neighbours(percent), PAIRS)
+    return laid.mapInArrow(leaving_tidy(neighbours(percent)), PAIRS)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -163,7 +163,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own, pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, size)], pa.binary())], schema=schema)
 
     side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    return docs.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(leaving_tidy(run), "doc_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "x", "y").mapInArrow(leaving_tidy(run), "a long, b long")
 
 
 def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def prefixes(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Similar sets share one of these in any order that is common to all.
     """
-    rows = written(blocks.join(sets, blocks.node == sets.doc_id).select(*blocks.columns, "shingles").mapInArrow(_unpack, f"{_BLOCKS}, n long, h long"), "shingles")
+    rows = written(blocks.join(sets, blocks.node == sets.doc_id).select(*blocks.columns, "shingles").mapInArrow(leaving_tidy(_unpack), f"{_BLOCKS}, n long, h long"), "shingles")
     spread = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = join_small_groups(rows, spread, ["h"], "df", rows.count())
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import forget, id_text, table
+from .common import forget, id_text, leaving_tidy, table
 
 WINDOW = 50
 #: Bytes of text in a group, and windows in a range, on average.
@@ -177,7 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.withColumn("grp", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key), F.lit(groups)).cast("int"))
     dealt = dealt.repartition(max(groups, 1), "grp")
     sent = dealt.groupBy("grp").applyInArrow(lambda t: blocks(t, window, ranges), "grp int, rng int, hashes binary, ids binary")
-    heard = sent.repartitionById(ranges, F.col("rng")).mapInArrow(answers, "grp int, rng int, bits binary")
+    heard = sent.repartitionById(ranges, F.col("rng")).mapInArrow(leaving_tidy(answers), "grp int, rng int, bits binary")
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string"
     done = dealt.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: finish(t, a, window, ranges, with_text), ddl)
     return done if with_text else done.drop("kept_text")

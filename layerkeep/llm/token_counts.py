@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cached, id_text, rows_of, table
+from .common import cached, id_text, leaving_tidy, rows_of, table
 
 SPACE = "▁"
 #: Words that a worker keeps, about 200 bytes each; beyond that it starts anew.
@@ -142,7 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
             for ids, texts in rows_of(batch):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counter.count(texts), pa.int64())], schema=SCHEMA)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+    return id_text(docs, id_col, text_col).mapInArrow(leaving_tidy(run), "doc_id long, n_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, least_hashes, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_400, 3_600, 20_000
 #: Lengths of word beginnings that may enter the lexicon; its most entries; words of an exception phrase's entry.
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 cols = zip(*map(scorer.score, texts), strict=True)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(cols, list(SCHEMA)[1:], strict=True))], schema=SCHEMA)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_hits long, weight double")
+    return id_text(docs, id_col, text_col).mapInArrow(leaving_tidy(run), "doc_id long, score double, n_hits long, weight double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
