@@ -50,8 +50,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one Arrow batch at most: texts may be long, and a batch is held by Spark and by Python.
+BATCH_ROWS = 1_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_ROWS``, unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, whatever else the table has."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

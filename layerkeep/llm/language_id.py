@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, small_batches, table
 
 #: Bounds of the sample: documents for each language, characters taken of each, characters in all, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL, MOST_LANGUAGES = 48, 2_500, 40_000, 64
@@ -201,6 +201,7 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
 
 def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is not ``und``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(texts)
     key = hashlib.sha256(json.dumps(texts, sort_keys=True).encode()).hexdigest()
     at = docs.columns.index(text_col)
