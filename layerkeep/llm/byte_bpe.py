@@ -53,7 +53,8 @@ WITH RECURSIVE step AS (
           FROM step WHERE NOT done WINDOW w AS (ORDER BY (piece::BIGINT << 16) | pos)) JOIN merges USING (pair)
     WHERE next_piece = piece GROUP BY piece) b ON t.piece = b.piece
   WHERE b.best IS NULL OR t.pos <> (b.best & 65535))
-SELECT piece, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY piece ORDER BY piece
+SELECT piece, string_agg(id_hex, '' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes
+FROM step JOIN vocabulary USING (tok) WHERE done GROUP BY piece ORDER BY piece
 """
 DECODE = """
 SELECT item, string_agg(hex, '' ORDER BY pos) AS hex FROM ids_of JOIN vocabulary USING (tok) GROUP BY item ORDER BY item
@@ -83,7 +84,8 @@ class Codec:
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = dict(pairs)
         self.put("merges", pair=pa.array(list(self.pairs), pa.int64()), rank=pa.array(list(self.pairs.values()), pa.int32()))
-        self.put("vocabulary", tok=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
+        ids = [r.to_bytes(4, "little").hex() for r in ranks.values()]
+        self.put("vocabulary", tok=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]), id_hex=pa.array(ids))
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.kept: dict[str, bytes] = {}  # ids of pieces
         self.other: dict[str, bytes] = {}  # decoded bytes of pieces that do not decode to themselves
@@ -96,13 +98,15 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return SIMPLE.findall(text) if REPERTOIRE.fullmatch(text) else self.pattern.findall(text)
 
-    def contract(self, pieces: list[bytes]) -> list[list[int]]:
+    def contract(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids, the bytes that they decode to) of each piece."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         item = np.repeat(np.arange(len(pieces)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.put("bytes_of", piece=item.astype(np.int32), pos=(np.arange(len(flat)) - first).astype(np.int32), tok=self.of_byte[flat])
-        return self.con.sql(CONTRACT).to_arrow_table()["ids"].to_pylist()
+        got = self.con.sql(CONTRACT).to_arrow_table()
+        return zip(map(bytes.fromhex, got["ids"].to_pylist()), map(bytes.fromhex, got["bytes"].to_pylist()), strict=True)
 
     def contract_long(self, piece: bytes) -> list[int]:
         """The same contractions for one long piece, found by a heap instead of a query's steps."""
@@ -149,17 +153,20 @@ class Codec:
     def learn(self, new: list[str]) -> None:
         """Encodes and decodes pieces that are not kept yet."""
         raw = [x.encode("utf-8", "surrogatepass") for x in new]
-        ids = {i: [self.ranks[x]] if x in self.ranks else self.contract_long(x) for i, x in enumerate(raw) if x in self.ranks or len(x) > LONG_PIECE}
-        rest = [i for i in range(len(new)) if i not in ids]
+        apart = [i for i, x in enumerate(raw) if x in self.ranks or len(x) > LONG_PIECE]
+        rest = sorted(set(range(len(new))).difference(apart))
         for k in range(0, len(rest), QUERY_PIECES):
             run = rest[k : k + QUERY_PIECES]
-            ids |= zip(run, self.contract([raw[i] for i in run]), strict=True)
-        for k in range(0, len(new), QUERY_PIECES):
-            arrays = [np.array(ids[i], "<u4") for i in range(k, min(len(new), k + QUERY_PIECES))]
-            for i, (a, b) in enumerate(zip(arrays, self.decode(arrays), strict=True), k):
-                self.kept[new[i]] = a.tobytes()
-                if b != raw[i]:
-                    self.other[new[i]] = b
+            for i, (ids, back) in zip(run, self.contract([raw[i] for i in run]), strict=True):
+                self.keep(new[i], raw[i], ids, back)
+        many = [np.array([self.ranks[raw[i]]] if raw[i] in self.ranks else self.contract_long(raw[i]), "<u4") for i in apart]
+        for i, ids, back in zip(apart, many, self.decode(many), strict=True):
+            self.keep(new[i], raw[i], ids.tobytes(), back)
+
+    def keep(self, piece: str, raw: bytes, ids: bytes, back: bytes) -> None:
+        self.kept[piece] = ids
+        if back != raw:
+            self.other[piece] = back
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each text."""
