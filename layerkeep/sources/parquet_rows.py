@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..errors import FailedPrecondition, InvalidArgument, NotFound
 from ..functions.hashing import key_bits
 from ..operators.overlay import duplicate_keys
-from ..schema import Field, Schema
+from ..schema import Schema
 from .files import Files
 
 UNSIGNED = T.DecimalType(20, 0)
@@ -45,10 +45,6 @@ def parquet_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _spark_type_of(f: Field) -> T.DataType:
-    return f.spark_type
-
-
 def _same(a: T.DataType, b: T.DataType) -> bool:
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return _same(a.elementType, b.elementType)
@@ -56,7 +52,7 @@ def _same(a: T.DataType, b: T.DataType) -> bool:
 
 
 def _resolved(df: DataFrame, schema: Schema, key: str) -> tuple[DataFrame, list]:
-    """(pk, row columns by name) of one group of files that share columns, and the checks to run."""
+    """(pk, row) from columns by name, and the checks to run: (whether a row is bad, message)."""
     columns = {f.name: f.dataType for f in df.schema.fields}
     if key not in columns:
         raise InvalidArgument(f"the key column {key} is missing")
@@ -69,7 +65,7 @@ def _resolved(df: DataFrame, schema: Schema, key: str) -> tuple[DataFrame, list]
                 raise InvalidArgument(f"the required column {f.name} is missing")
             parts.append(F.lit(None).cast(f.spark_type).alias(f.name))
             continue
-        if not _same(columns[f.name], _spark_type_of(f)):
+        if not _same(columns[f.name], f.spark_type):
             raise InvalidArgument(f"column {f.name} is {columns[f.name].simpleString()}, not {f.spark_type.simpleString()}")
         x = F.col(f.name)
         if not f.nullable:
@@ -77,31 +73,41 @@ def _resolved(df: DataFrame, schema: Schema, key: str) -> tuple[DataFrame, list]
         if f.is_list:
             checks.append((F.exists(x, lambda e: e.isNull()), f"the list column {f.name} holds a null element"))
         parts.append(x.alias(f.name))
-    return df.select(key_bits(F.col(key)).alias("pk"), F.struct(*parts).alias("row")), [(c, m, df) for c, m in checks]
+    return df.select(key_bits(F.col(key)).alias("pk"), F.struct(*parts).alias("row")), checks
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """All files below a path under the union of their columns; a column of two types is an error.
+
+    Spark reads the footers in parallel and merges their schemas; a column that
+    a file lacks is null in its rows.
+    """
+    files = parquet_files(spark, path)
+    reader = spark.read.option("mergeSchema", "true")
+    try:
+        if any(f.rsplit("/", 1)[-1].startswith("_") for f in files):  # names that Spark would skip
+            return reader.parquet(*files)
+        return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    except Exception as e:
+        if "MERGE_SCHEMAS" in str(e):
+            raise InvalidArgument(f"files disagree on a column's type: {str(e)[:300]}") from e
+        raise
 
 
 def read_rows(spark: SparkSession, path: str, schema: Schema, key: str, check: bool = True) -> DataFrame:
     """(pk as bit pattern, row) of all files below a path.
 
-    Files are grouped by the columns they have, read from their footers, so a
-    column that only some files lack is absent in their rows alone. The checks
-    are one aggregation for each group, run before anything is returned.
+    The checks are one aggregation and one search for repeated keys, run before
+    anything is returned.
     """
     schema.row_type()
-    groups: dict[str, list[str]] = {}
-    for f in parquet_files(spark, path):
-        own = spark.read.parquet(f).schema
-        groups.setdefault(own.jsonValue().__repr__(), []).append(f)
-    out = None
-    for files in groups.values():
-        rows, checks = _resolved(spark.read.parquet(*files), schema, key)
-        if check:
-            df = checks[0][2]
-            bad = df.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, (c, _, _) in enumerate(checks)]).first()
-            for i, (_, message, _) in enumerate(checks):
-                if bad[f"c{i}"]:
-                    raise InvalidArgument(message)
-        out = rows if out is None else out.unionByName(rows)
-    if check and (again := duplicate_keys(out).first()):
-        raise FailedPrecondition(f"key {again.pk & (2**64 - 1)} occurs {again.n} times")
-    return out
+    df = merged(spark, path)
+    rows, checks = _resolved(df, schema, key)
+    if check:
+        bad = df.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, (c, _) in enumerate(checks)]).first()
+        for i, (_, message) in enumerate(checks):
+            if bad[f"c{i}"]:
+                raise InvalidArgument(message)
+        if again := duplicate_keys(rows).first():
+            raise FailedPrecondition(f"key {again.pk & (2**64 - 1)} occurs {again.n} times")
+    return rows

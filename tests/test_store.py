@@ -132,6 +132,10 @@ def test_strict_reading(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}")
         with pytest.raises(InvalidArgument):
             parquet_rows.read_rows(spark, f"{tmp_path}/{name}", s, "id")
+    good.write.parquet(f"{tmp_path}/types/a")
+    good.withColumn("id", F.col("id") + 50).withColumn("score", F.col("score").cast("long")).write.parquet(f"{tmp_path}/types/b")
+    with pytest.raises(InvalidArgument):
+        parquet_rows.read_rows(spark, f"{tmp_path}/types", s, "id")
     good.union(good).write.parquet(f"{tmp_path}/twice")
     with pytest.raises(FailedPrecondition):
         parquet_rows.read_rows(spark, f"{tmp_path}/twice", s, "id")
