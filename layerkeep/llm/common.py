@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,10 +140,6 @@ def cached(key: str, make: Callable):
     return held[key]
 
 
-def codepoints(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 #: A key is hot from this share of all rows on, so at most 1 / HOT_SHARE keys are hot, whatever the input.
 HOT_SHARE = 0.001
 
