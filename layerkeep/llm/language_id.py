@@ -47,16 +47,16 @@ def sample(training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen first, without texts; rows whose hash cannot be among the least go
     before the ranking, which so has a bounded number of rows.
     """
-    lang, order = F.col(lang_col), F.xxhash64(F.col(id_col).cast("long"), F.lit(7))
-    rows = training.filter(lang.isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), lang.alias("g"), order.alias("o"))
+    own = training.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
+    rows = own.filter(F.col("text").rlike(r"\p{L}")).select(F.col("doc").alias("i"), F.col("lang").alias("g"), F.xxhash64(F.col("doc"), F.lit(7)).alias("o"))
     common = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(MOST_LANGUAGES)
     near = F.lit(False)
     for r in common.collect():
         near = near | (F.col("g") == r.g) & least_hashes(F.col("o"), SAMPLE_DOCS, r["count"])
     chosen = rows.filter(near).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "i")))
     ids = chosen.filter(F.col("n") <= SAMPLE_DOCS).select("i", "g", "n")
-    text = F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t")
-    got = training.filter(lang.isNotNull()).join(F.broadcast(ids), (F.col(id_col).eqNullSafe(F.col("i"))) & (lang == F.col("g"))).select("g", "n", text)
+    text = F.substring("text", 1, SAMPLE_CHARS).alias("t")
+    got = own.join(F.broadcast(ids), F.col("doc").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("g"))).select("g", "n", text)
     out: dict[str, str] = {}
     for r in sorted(got.collect(), key=lambda r: (r.g, r.n, r.t)):
         out[r.g] = (out.get(r.g, "") + r.t + " ")[:SAMPLE_TOTAL]

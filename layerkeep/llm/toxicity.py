@@ -222,8 +222,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         near = near | (F.col("y") == r.y) & least_hashes(F.col("o"), wanted[r.y], r["count"])
     ranked = known.withColumn("o", F.xxhash64(F.col("i"), F.lit(11))).filter(near).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("o", "i")))
     chosen = ranked.filter(F.col("n") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN))
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("t")
-    got = docs.join(F.broadcast(chosen.select("i", "y", "n")), docs.doc_id == F.col("i")).select("y", "n", text)
+    own = id_text(docs, "doc_id", "text")
+    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("t")
+    got = own.join(F.broadcast(chosen.select("i", "y", "n")), F.col("doc_id") == F.col("i")).select("y", "n", text)
     return [(r.t, r.y) for r in sorted(got.collect(), key=lambda r: (r.n, r.y, r.t))]
 
 

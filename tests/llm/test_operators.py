@@ -79,6 +79,30 @@ def test_contamination_of_messy_rows(spark, messy, nothing):
     assert decontaminate.contaminated(messy, bench(spark, [])).count() == 0
 
 
+def test_samples_of_messy_rows(spark, messy, nothing):
+    got = language_id.sample(messy)
+    assert set(got) == {"en", "de"} and "the cat" in got["en"]
+    assert language_id.sample(nothing) == {}
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (2, 0, "x"), (3, 1, "x"), (None, 1, "x"), (4, None, "x"), (99, 1, "x"), (5, 7, "x")], "doc_id long, toxic int, n string")
+    assert sorted(toxicity.sample(messy, labels)) == [("", 1)] + [("the cat sat on the mat and then it slept all day", y) for y in (0, 0, 1)]
+    assert toxicity.sample(nothing, labels) == []
+
+
+def test_pipeline_on_messy_rows(spark, messy, nothing, sf_dir):
+    import corpus_pipeline
+
+    from layerkeep.llm.common import written
+
+    for start in (messy, nothing):
+        now, counts = start, []
+        for name, stage in corpus_pipeline.STAGES:
+            now = written(stage(spark, now, sf_dir), f"messy-{name}")
+            counts.append(now.count())
+            assert name == "byte_bpe" or now.columns == start.columns
+        # null, empty, blank and letterless texts go; then the copies of 1, and 7, which is near 6
+        assert counts == ([9, 7, 6, 6, 6] if start is messy else [0] * 5)
+
+
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
