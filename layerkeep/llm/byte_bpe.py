@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import cached, id_text, leaving_tidy, rows_of, table
 
 #: Pieces that a worker keeps; about 200 bytes each.
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000
 #: Distinct pieces of one recursive query: bounds its working tables.
-QUERY_PIECES = 20_000
+QUERY_PIECES = 10_000
 #: A query takes a step for each contraction and keeps every step's rows, so longer pieces (bytes) go to ``contract_long``.
 LONG_PIECE = 512
 
@@ -197,7 +197,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, d
     def run(batches):
         own = codec(ranks.value, pattern)
         for batch in batches:
-            for ids, texts in rows_of(batch, 1_500_000):
+            for ids, texts in rows_of(batch, 800_000):
                 got = [answer(*x) for x in own.encode(texts)]
                 cols = [pa.array([g[k] for g in got], f.type) for k, f in enumerate(list(schema)[1:])]
                 yield pa.RecordBatch.from_arrays([ids, *cols], schema=schema)
