@@ -2,8 +2,9 @@
 
 Numbers, names and units of a text become typed placeholders, so a question
 whose figures or names were replaced keeps its template. Windows of ``window``
-canonical tokens are hash-joined with those of the benchmark; each hit puts a
-benchmark item beside a document at some offset. For every such alignment the
+canonical tokens, and of as many lower-cased ones, are hash-joined with those of
+the benchmark; each hit puts a benchmark item beside a document at some offset,
+so an item that stands in a document whole is always found. For every such alignment the
 share of the item's tokens that stand in the document at their places is
 taken (the same token, or the same placeholder), and slot consistency is checked: over the matched placeholders of one
 type, equal values of the item must stand for equal values of the document and
@@ -13,9 +14,11 @@ consistent slots is contamination.
 Tokens are parted by white space and trimmed of punctuation; what is left empty
 goes. A number begins with a digit and has only digits, ``.``, ``,``, ``:``,
 ``/``, ``-`` or one of the units behind it. A name begins with a capital, has a
-lower-case letter and does not begin a sentence. Windows need half their tokens
-to be literal. An item shorter than the window is matched as a whole; one of
-fewer than ``LEAST_TOKENS`` tokens or with fewer than half literal never matches.
+lower-case letter and does not begin a sentence. Windows of canonical tokens need
+half their tokens to be literal. An item with fewer than half literal is no
+template: it has only lower-cased windows, and only equal tokens count. An item
+shorter than the window is matched as a whole; one of fewer than
+``LEAST_TOKENS`` tokens never matches.
 
 Everything is DataFrame operations. Null texts have no tokens. Rows that repeat
 an id are one document, whose best alignment counts; null ids are one document.
@@ -109,22 +112,28 @@ def token_hashes(raw: Column) -> Column:
     return F.transform(raw, lambda t: F.xxhash64(canonical_form(t)))
 
 
+def plain_hashes(raw: Column) -> Column:
+    """Hashes of lower-cased tokens, apart from those of canonical ones."""
+    return F.transform(raw, lambda t: F.xxhash64(plain(t), F.lit(1)))
+
+
 def literal(token: Column) -> Column:
     return ~token.isin("<num>", "<name>", "<unit>")
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """item_id, item_raw, item_canon, n_item: the items that can match."""
+    """item_id, item_raw, item_canon, n_item, template (whether half the tokens are literal): the items that can match."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), raw_tokens(F.col(text_col)).alias("item_raw"))
     rows = rows.select("item_id", "item_raw", canonical(F.col("item_raw")).alias("item_canon")).withColumn("n_item", F.size("item_canon"))
-    return rows.filter((F.col("n_item") >= LEAST_TOKENS) & (2 * F.size(F.filter("item_canon", literal)) >= F.col("n_item")))
+    return rows.filter(F.col("n_item") >= LEAST_TOKENS).withColumn("template", 2 * F.size(F.filter("item_canon", literal)) >= F.col("n_item"))
 
 
 def item_windows(items: DataFrame, k: int, whole: bool) -> DataFrame:
-    """w, item_id, q of the items' windows of k tokens with half their tokens literal; ``whole``: of items with k tokens only."""
+    """w, item_id, q of the items' windows of k tokens: lower-cased ones, and those of templates with half their tokens literal; ``whole``: of items with k tokens only."""
     own = items.filter(F.col("n_item") == k) if whole else items.filter(F.col("n_item") >= k)
-    rows = own.select("item_id", "item_canon", F.posexplode(window_hashes(F.transform("item_canon", lambda t: F.xxhash64(t)), k)).alias("q", "w"))
-    return rows.filter(2 * F.size(F.filter(F.slice("item_canon", F.col("q") + 1, F.lit(k)), literal)) >= k).select("w", "item_id", "q")
+    rows = own.filter("template").select("item_id", "item_canon", F.posexplode(window_hashes(F.transform("item_canon", lambda t: F.xxhash64(t)), k)).alias("q", "w"))
+    typed = rows.filter(2 * F.size(F.filter(F.slice("item_canon", F.col("q") + 1, F.lit(k)), literal)) >= k).select("w", "item_id", "q")
+    return typed.unionByName(own.select("item_id", F.posexplode(window_hashes(plain_hashes(F.col("item_raw")), k)).alias("q", "w")))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -137,14 +146,16 @@ def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     out = None
     for k in [window, *sorted(lengths)]:
         sides = written(item_windows(items, k, k < window), "windows")
-        found = docs.select("doc_id", F.posexplode(window_hashes(token_hashes(raw_tokens(F.col("text"))), k)).alias("p", "w")).join(small(sides, sides.count()), "w")
-        found = found.groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("offset")).agg(F.count(F.lit(1)).alias("windows"))
+        # the canonical window of each place, then the lower-cased one
+        both = let(raw_tokens(F.col("text")), lambda r: F.flatten(F.zip_with(window_hashes(token_hashes(r), k), window_hashes(plain_hashes(r), k), lambda a, b: F.array(a, b))))  # noqa: B023
+        found = docs.select("doc_id", F.posexplode(both).alias("at", "w")).join(small(sides, sides.count()), "w")
+        found = found.groupBy("doc_id", "item_id", (F.shiftright("at", 1) - F.col("q")).alias("offset")).agg(F.count(F.lit(1)).alias("windows"))
         out = found if out is None else out.unionByName(found)
     return written(out.select("doc_id", "item_id", "offset").distinct(), "alignments")
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """Coverage and slots of alignments that have text, item_raw, item_canon, n_item, offset.
+    """Coverage and slots of alignments that have text, item_raw, item_canon, n_item, template, offset.
 
     Tokens and their forms are bound before the walk over the item's places.
     """
@@ -153,7 +164,7 @@ def judged(pairs: DataFrame) -> DataFrame:
         def place(i: Column) -> Column:
             at = lambda a: F.when(i + F.col("offset") >= 0, F.get(a, i + F.col("offset")))
             theirs, ours = F.get("item_raw", i), at(doc.raw)
-            alike = (at(doc.canon) == F.get("item_canon", i)) | (plain(theirs) == plain(ours))
+            alike = F.col("template") & (at(doc.canon) == F.get("item_canon", i)) | (plain(theirs) == plain(ours))
             return F.struct(F.coalesce(alike, F.lit(False)).alias("alike"), F.get("item_canon", i).alias("kind"), plain(theirs).alias("theirs"), plain(ours).alias("ours"))
 
         return F.filter(F.transform(F.sequence(F.lit(0), F.col("n_item") - 1), place), lambda x: x.alike)

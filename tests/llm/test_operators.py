@@ -221,6 +221,25 @@ def test_reparameterised_questions(spark):
     assert got[0].verbatim and got[0].n_matched == got[0].n_item and not got[1].verbatim and got[1].n_slots >= 6
 
 
+def test_items_of_mostly_names_and_figures(spark):
+    """Items without template windows are found where they stand whole, and not by their placeholders alone."""
+    novel = "Who Wrote The Novel Pride And Prejudice In London During 1813"
+    figures = "12 15 18 21 24 27 30 33 total 36 39"
+    short = "Berlin 1813 London 1920"  # a whole item shorter than the window
+    thin = "Alice Bob 7 came late Carol Dave 9 went home early"  # half literal, but no window of it is
+    items = [(1, novel), (2, figures), (3, short), (4, "Paris once 5 Rome 9 Cairo 11 Bern now 3 then"), (5, thin)]
+    texts = [f"some words, {x} and more" for _, x in items] + [
+        "some words, Who Sang The Opera Anna And Elena In Paris During 1901 and more",  # other names
+        "some words, 1 2 3 4 5 6 7 8 total 9 10 and more",  # other figures
+        "some words, 12 15 18 21 24 27 30 33 in all and more",  # 8 of 11
+        "Nothing of it at all here.",
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, texts), bench(spark, items)).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (7, 2)}
+    assert all(got[k, k + 1].verbatim and got[k, k + 1].first_token == 2 for k in range(5))
+    assert not got[7, 2].verbatim and got[7, 2].n_matched == 8
+
+
 def canon(text):
     """The canonical tokens, written anew from the description."""
     out, starts = [], True
