@@ -88,6 +88,26 @@ def test_samples_of_messy_rows(spark, messy, nothing):
     assert toxicity.sample(nothing, labels) == []
 
 
+def test_pipeline_keeps_texts_whose_ids_clash(spark, sf_dir):
+    import corpus_pipeline
+
+    from layerkeep.llm.common import table
+
+    words = ["anna", "built", "a", "small", "boat", "of", "old", "wood", "and", "sailed", "far"]
+    text = lambda k: " ".join(f"{w}{c}" for c in "abc" for w in words[k:] + words[:k])
+    leak = table(spark, sf_dir, "benchmark").first().text
+    rows = [(1, text(0)), (2, text(0)), (2, text(3)), (2, text(3) + " "), (3, text(5) + " end"), (4, text(5)), (4, text(7)), (5, leak), (5, text(9)), (6, "of its own")]
+    columns = "doc_id long, text string"
+    now = spark.createDataFrame(rows, columns)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns == ["doc_id", "text"]
+    got = [(r.doc_id, r.text.strip()) for r in now.collect()]
+    near = [x for x in got if x in ((3, text(5) + " end"), (4, text(5)))]
+    assert len(near) == 1  # near copies of each other
+    assert sorted(x for x in got if x not in near) == sorted([(1, text(0)), (2, text(3)), (4, text(7)), (5, text(9)), (6, "of its own")])
+
+
 def test_pipeline_on_messy_rows(spark, messy, nothing, sf_dir):
     import corpus_pipeline
 
