@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_small_groups, written
 
 MOST_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, least: Column, total: int) -> DataFrame:
+    """``rows`` (u, v) with the least of each u as m; a hub's rows stay where they are."""
+    groups = rows.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("size"))
+    return join_small_groups(rows, groups, ["u"], "size", total)
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours meet the least of its neighbours and itself."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    return _met(both, F.least(F.min("v"), F.col("u")), 2 * total).filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours meet the least of those."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return near.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    # a node meets the least once itself: in the row where that one stands
+    return _met(down, F.min("v"), total).select(F.col("m").alias("a"), F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b); links of a node with itself are left out.
 
-    Each round is written to the shared folder, so lineage stays short and a
-    lost executor repeats one round at most. Rounds grow with the logarithm of
+    Both halves of a round are written to the shared folder, so lineage stays short and a
+    lost executor repeats half a round at most. Rounds grow with the logarithm of
     a component's size.
     """
     now = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    mark = now.count(), None
     for _ in range(MOST_ROUNDS):
-        now = written(_small_star(_large_star(now)).distinct(), "links")
+        large = written(_large_star(now, mark[0]), "links")
+        now = written(_small_star(large, mark[0]).distinct(), "links")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == mark:
             stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))

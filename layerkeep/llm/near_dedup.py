@@ -12,10 +12,10 @@ which is depth that adapts to the region.
 
 Candidates are confirmed on full sets, in two rounds. First each class's best
 candidates; that settles most groups. Then all candidates that still lie in
-different components. Regions with more classes than neighbours reach, and with
-more than one component left, get an exact join on prefixes of their sets (the
-rarest shingles first), a node against whole blocks of nodes, so no cap loses a
-link there.
+different components. Regions with more classes than neighbours reach, or cut by
+a partition's bound, and with more than one component left, get an exact join:
+a node is held against whole size classes and then blocks of nodes, by the
+shingles that it would have to share, so no cap loses a link there.
 
 A pair of similarity s shares a region in no tree with probability
 (1 - s^LEAST_DEPTH)^TREES: 2e-6 at 0.75, and it falls fast above.
@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,8 @@ TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 6, 3, 2
 BEST = 3
 #: Nodes in a block, and nodes held against it in one task, on average.
 BLOCK, SIDE = 256, 256
+#: A size class holds the sets of up to so many times its smallest set's shingles.
+BAND = 1.1
 #: Ids broadcast at most, counted first; beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -57,16 +59,15 @@ FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
-    data, begins = wordhash.joined(texts)
-    starts, hashes = wordhash.words(data, wordhash.LOWER)
-    bounds = np.searchsorted(starts, np.append(begins, len(data) + 1), "left")
-    all_runs = wordhash.runs(hashes, size)
-    out = []
-    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if e - s >= size:
-            out.append(np.unique(all_runs[s : e - size + 1]))
+    counts, numbers, _ = wordhash.words(texts, lower=True)
+    all_runs = wordhash.mix(wordhash.runs(numbers, size))
+    out, start = [], 0
+    for n in counts.tolist():
+        if n >= size:
+            out.append(np.unique(all_runs[start : start + n - size + 1]))
         else:
-            out.append(wordhash.runs(hashes[s:e], e - s) if e > s else hashes[:0])
+            out.append(wordhash.mix(wordhash.runs(numbers[start : start + n], n)))
+        start += n
     return out
 
 
@@ -105,30 +106,34 @@ PAIR_SCHEMA = pa.schema([("kind", pa.int32()), ("region", pa.binary()), ("a", pa
 
 
 def neighbours(percent: int):
-    """Over rows (tree, word, rep, n_shingles) in order: candidate pairs (kind 0), and the members of regions that neighbours do not cover (kind 1)."""
+    """Over rows (tree, word, rep, n_shingles) in order: candidate pairs (kind 0), and the members of regions that neighbours do not cover (kind 1).
+
+    A partition's first and last region may go on in the next one, so they count as not covered.
+    """
     prefix = 2 * LEAST_DEPTH
 
-    def region(members):
+    def region(members, edge):
         key = members[0][0], members[0][1][:prefix]
         for i, (_, _, rep, n) in enumerate(members):
             for _, _, other, m in members[i + 1 : i + 1 + NEIGHBOURS]:
                 if 100 * min(n, m) >= percent * max(n, m):
                     yield 0, None, min(rep, other), max(rep, other)
-        if len(members) > NEIGHBOURS + 1:
+        if edge or len(members) > NEIGHBOURS + 1:
             for _, _, rep, _ in members:
                 yield 1, key[0].to_bytes(1, "big") + key[1], rep, None
 
     def rows(batches):
         held: list = []
+        first = True
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (held[0][0] != x[0] or held[0][1][:prefix] != x[1][:prefix]):
-                    if len(held) > 1:
-                        yield from region(held)
-                    held = []
+                    if first or len(held) > 1:
+                        yield from region(held, first)
+                    held, first = [], False
                 held.append(x)
-        if len(held) > 1:
-            yield from region(held)
+        if held:
+            yield from region(held, True)
 
     def run(batches):
         out = []
@@ -199,40 +204,94 @@ def uncovered(regions: DataFrame, parts: DataFrame) -> DataFrame:
     return left.groupBy("node", "component").agg(F.min("region").alias("region"))
 
 
-def in_blocks(rest: DataFrame) -> DataFrame:
-    """node, component, weight (its component's nodes in ``rest``), block: about ``BLOCK`` nodes each, of one large component or of one region."""
-    n = rest.count()
-    weighed = join_small_groups(rest, rest.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), ["component"], "weight", n)
-    grouped = weighed.withColumn("grp", F.when(F.col("weight") >= BLOCK, F.xxhash64("component", F.lit(1))).otherwise(F.xxhash64("region")))
-    sized = join_small_groups(grouped, grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"], "size", n)
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    return sized.select("node", "component", "weight", F.xxhash64("grp", part).alias("block"))
+def band_of(n: Column) -> Column:
+    """The size class of a set."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("int")
 
 
-def prefixes(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """h, node, component, weight, block: the first n - ceil(percent n / 100) + 1 shingles of each set, rarest first, that others have too.
+def least_of(band: Column) -> Column:
+    """No set of a size class is smaller; rounding errs downwards."""
+    return F.floor(F.pow(F.lit(BAND), band) * (1 - 1e-9))
 
-    Similar sets share one of these in any order that is common to all.
-    """
-    rows = written(blocks.join(sets, blocks.node == sets.doc_id).select(*blocks.columns, "shingles").mapInArrow(leaving_tidy(_unpack), f"{_BLOCKS}, n long, h long"), "shingles")
-    spread = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = join_small_groups(rows, spread, ["h"], "df", rows.count())
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1))
-    return written(heads.select("h", "node", "component", "weight", "block"), "prefixes")
+
+def enough(shared: Column, n: Column, band: Column, percent: int) -> Column:
+    """Whether a set of n shingles, ``shared`` of them with some set of the size class or another, may be similar to one of it."""
+    least = F.greatest(least_of(band), n * percent / 100)
+    return (shared * (100 + percent) >= percent * (n + least) - 1e-6) & (least_of(band) * percent <= 100 * n)
 
 
-_BLOCKS = "node long, component long, weight long, block long"
+def in_blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n, band, block: about ``BLOCK`` nodes each of one size class, of one large component or of one region."""
+    total = rest.count()
+    weighed = weights(rest, total)
+    sizes = sets.select(F.col("doc_id").alias("node"), F.expr("octet_length(shingles) div 8").alias("n"))
+    banded = weighed.join(sizes, "node").withColumn("band", band_of(F.col("n")))
+    grouped = banded.withColumn("grp", F.when(F.col("weight") >= BLOCK, F.xxhash64("component", "band", F.lit(1))).otherwise(F.xxhash64("region", "band")))
+    sized = join_small_groups(grouped, grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"], "size", total)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    return sized.select("node", "n", "band", F.xxhash64("grp", part).alias("block"))
+
+
+def weights(nodes: DataFrame, total: int) -> DataFrame:
+    """``nodes`` with the number of them that their component has, as weight."""
+    return join_small_groups(nodes, nodes.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), ["component"], "weight", total)
+
+
+_BLOCKS = ("node", "n", "band", "block")
 
 
 def _unpack(batches):
-    schema = pa.schema([(c, pa.int64()) for c in ("node", "component", "weight", "block", "n", "h")])
+    """A row for each shingle of each set."""
+    schema = pa.schema([(c, pa.int64()) for c in (*_BLOCKS, "h")])
     for batch in batches:
         sets = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
         sizes = np.array([len(x) for x in sets])
-        cols = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("node", "component", "weight", "block")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, np.repeat(sizes, sizes), np.concatenate(sets))], schema=schema)
+        cols = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in _BLOCKS]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, np.concatenate(sets))], schema=schema)
+
+
+def reach_of(percent: int) -> range:
+    """How many size classes apart similar sets may be."""
+    most = int(np.ceil(np.log(100 / percent) / np.log(BAND)))
+    return range(-most, most + 1)
+
+
+def may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """node, component, weight, band, common, bands: in which size classes a node may be similar to one of a larger component.
+
+    Sets x and y are similar only if they share p (|x| + |y|) / (100 + p)
+    shingles, so x is held against all nodes of a size class at once: those of
+    its shingles that any of them in a larger component has must be as many.
+    A shingle has one row, with the largest component for each size class, so
+    the join makes as many rows as it reads, whatever the size of a group.
+    ``common`` is the mean number of sets that a node's shingles stand in.
+    """
+    mark = F.struct("weight", "component")
+    most = rows.groupBy("h", "band").agg(F.max(mark).alias("most"), F.count(F.lit(1)).alias("n"))
+    most = most.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("band", "most"))).alias("most"), F.sum("n").alias("df"))
+    both = join_small_groups(rows, most.filter("df > 1"), ["h"], "df", rows.count())
+    reach = reach_of(percent)
+    shared = [F.sum((F.try_element_at("most", F.col("band") + k) > mark).cast("int")).alias(f"k{i}") for i, k in enumerate(reach)]
+    counted = both.groupBy("node", "component", "weight", "n", "band").agg(*shared, (F.sum("df") / F.col("n")).alias("common"))
+    bands = [F.when(enough(F.col(f"k{i}"), F.col("n"), F.col("band") + k, percent), F.col("band") + k) for i, k in enumerate(reach)]
+    return counted.select("node", "component", "weight", "band", "common", F.array_compact(F.array(*bands)).alias("bands"))
+
+
+def hub_pairs(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """(a, b): each node that may link, with the ``BEST`` hubs that it shares most shingles with.
+
+    A hub is the node of a component and size class whose shingles are the most
+    common. For each shingle and size class that of the largest component counts.
+    """
+    hubs = counted.groupBy("component", "band").agg(F.max_by("node", F.struct("common", -F.col("node"))).alias("node"))
+    able = counted.filter(F.size("bands") > 0).select("node", "bands")
+    theirs = rows.join(hubs.select("node"), "node", "left_semi")
+    theirs = theirs.groupBy("h", F.col("band").alias("their_band")).agg(F.max(F.struct("weight", "component", "node")).alias("hub"))
+    own = rows.join(able, "node").select("h", "node", "weight", "component", F.explode("bands").alias("their_band"))
+    met = own.join(theirs, ["h", "their_band"]).filter(F.struct("hub.weight", "hub.component") > F.struct("weight", "component"))
+    votes = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub"))
+    return votes.withColumn("place", place).filter(F.col("place") <= BEST).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def block_links(percent: int):
@@ -249,7 +308,8 @@ def block_links(percent: int):
                 s = np.frombuffer(raw, "<u8")
                 place = np.minimum(np.searchsorted(s, flat), len(s) - 1)
                 both = np.bincount(owner[s[place] == flat], minlength=len(sets))
-                for i in np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (parts != part)):
+                alike = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (parts != part))
+                for i in alike[np.unique(parts[alike], return_index=True)[1]]:
                     a.append(node)
                     b.append(nodes[i])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -257,23 +317,44 @@ def block_links(percent: int):
     return run
 
 
-def rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) between different components of ``rest``, at least one for each node and component that it has a similar set in.
+def rest_parts(rest: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``parts`` (node, component) after all links between different components of ``rest``.
 
-    A node is held against whole blocks of larger components: the join of
-    prefixes makes a row for a node and a block, not for each pair of nodes,
-    and the sets of a block travel once for ``SIDE`` nodes.
+    Nodes of smaller components are held against larger ones: first against
+    whole size classes; those that pass against hubs, which links nearly all
+    that can be linked; those that still pass against blocks by the same
+    bound, and at last against the sets of the blocks that are left. Both
+    bounds are exact, so no link is lost.
+    """
+    blocks = written(in_blocks(rest, sets), "blocks")
+    full = blocks.join(sets, blocks.node == sets.doc_id).select(*blocks.columns, "shingles")
+    rows = written(full.mapInArrow(leaving_tidy(_unpack), ", ".join(f"{c} long" for c in (*_BLOCKS, "h"))), "shingles")
+    total = blocks.count()
+    for hubs in (True, False):
+        nodes = blocks.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        now = written(rows.join(weights(written(nodes, "nodes"), total), "node"), "weighed")
+        counted = written(may_link(now, percent), "counted")
+        if counted.filter(F.size("bands") > 0).isEmpty():
+            return parts
+        links = confirmed(hub_pairs(now, counted), sets, percent) if hubs else blockwise(now, counted, full, percent)
+        parts = written(joined_up(parts, written(links, "confirmed")), "parts")
+    return parts
+
+
+def blockwise(rows: DataFrame, counted: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of nodes that may link with larger components, at least one for each node and component that it has a similar set in.
+
+    The sets of a block travel once for ``SIDE`` nodes that meet it.
     """
-    blocks = written(in_blocks(rest), "blocks")
-    heads = prefixes(blocks, sets, percent)
-    mixed = heads.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
-    heads = heads.join(mixed, "h")
+    able = counted.filter(F.size("bands") > 0).select("node", "bands")
     mark = F.struct("weight", "component")
-    theirs = heads.groupBy("h", "block").agg(F.max(mark).alias("most"))
-    met = heads.select("h", "node", mark.alias("mark")).join(theirs, "h").filter(F.col("mark") < F.col("most")).select("node", "block").distinct()
-    met = written(met, "met")
+    theirs = rows.groupBy("h", "block", F.col("band").alias("their_band")).agg(F.max(mark).alias("most"))
+    own = rows.join(able, "node").select("h", "node", "n", "bands", mark.alias("mark"))
+    met = own.join(theirs, "h").filter((F.col("most") > F.col("mark")) & F.array_contains("bands", F.col("their_band")))
+    met = met.groupBy("node", "n", "block", "their_band").agg(F.count(F.lit(1)).alias("shared"))
+    met = written(met.filter(enough(F.col("shared"), F.col("n"), F.col("their_band"), percent)).select("node", "block"), "met")
     parts = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts"))
-    full = blocks.select("node", "component", "block").join(sets, F.col("node") == F.col("doc_id")).select("node", "component", "block", "shingles")
+    full = full.join(rows.select("node", "component").distinct(), "node").select("node", "component", "block", "shingles")
     others = met.join(parts, "block").join(full.drop("block"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     own = full.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     names = {"block": "to_block", "part": "to_part", "node": "other", "component": "other_component", "shingles": "other_shingles"}
@@ -290,11 +371,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     sets = written(sets_of(docs, written(ends, "ends"), size).dropDuplicates(["doc_id"]), "sets")
     first = written(best_pairs(pairs), "first")
     parts = written(components(written(confirmed(first, sets, percent), "confirmed")), "parts")
-    more = confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), parts), sets, percent)
+    more = written(confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), parts), sets, percent), "confirmed")
+    parts = written(joined_up(parts, more), "parts")
     rest = written(uncovered(regions, parts), "uncovered")
-    if rest.count():
-        more = more.unionByName(rest_links(rest, sets, percent))
-    return joined_up(parts, written(more, "confirmed"))
+    return parts if rest.isEmpty() else rest_parts(rest, parts, sets, percent)
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:

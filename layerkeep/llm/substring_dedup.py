@@ -14,8 +14,10 @@ that starts in a document with a smaller id. Windows are judged on the input.
    Spark reuses), joins answers and own ids, and merges repeated windows into
    maximal intervals of words.
 
-Two windows count as equal if their 64-bit hashes are: among n distinct windows
-any two collide with probability n^2 / 2^65.
+Two windows count as equal if 61 bits modulo 2^61 - 1 and 16 bits of another hash
+modulo 2^31 - 1 are: among n distinct windows n^2 / 2^78 pairs are expected to be
+equal by chance, far less than one up to some ten billion windows, hundreds
+among the 10^13 windows of 100 TB.
 
 Null text has no words. A document whose id is null never removes another's
 words; all such count as one document after all others. Rows that repeat an id
@@ -42,27 +44,25 @@ LAST = np.iinfo(np.int64).max
 
 
 class Group:
-    """The windows of a group's texts, in the order of ids."""
+    """The windows of a group's texts."""
 
     def __init__(self, rows: pa.Table, window: int):
-        ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-        ids = np.array([LAST if x is None or x != x else int(x) for x in rows.column("doc_id").to_pylist()], np.int64) if rows.column("doc_id").null_count else ids.astype(np.int64)
-        self.ids, self.texts, self.window = ids, rows.column("text").to_pylist(), window
-        data, begins = wordhash.joined(self.texts)
-        starts, hashes = wordhash.words(data)
-        self.doc_of_word = np.searchsorted(begins, starts, "right") - 1
-        all_runs = wordhash.runs(hashes, window)
-        whole = np.flatnonzero(self.doc_of_word[: len(all_runs)] == self.doc_of_word[window - 1 :]) if len(all_runs) else np.zeros(0, np.int64)
-        self.first_word = whole  # of each window
-        own = self.ids[self.doc_of_word[whole]]
-        order = np.argsort(all_runs[whole], kind="stable")
-        sorted_hash, sorted_id = all_runs[whole][order], own[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = sorted_hash[1:] != sorted_hash[:-1]
-        heads = np.flatnonzero(fresh)
-        self.hashes = sorted_hash[heads]
-        self.least = np.minimum.reduceat(sorted_id, heads) if len(heads) else sorted_id
+        ids = rows.column("doc_id").to_pylist()
+        self.ids = np.array([LAST if x is None else x for x in ids], np.int64)
+        self.texts, self.window = rows.column("text").to_pylist(), window
+        self.counts, wide, narrow = wordhash.words(self.texts)
+        self.doc_of_word = np.repeat(np.arange(len(ids)), self.counts)
+        last = self.doc_of_word[window - 1 :]
+        self.first_word = np.flatnonzero(self.doc_of_word[: len(last)] == last)  # of each window that lies in one document
+        hashes = wordhash.mix(wordhash.runs(wide, window)[self.first_word])
+        checks = wordhash.runs(narrow, window, wide=False)[self.first_word].astype(np.uint16)
+        own = self.ids[self.doc_of_word[self.first_word]]
+        order, heads = in_order(hashes, checks)
+        self.hashes, self.checks = hashes[order][heads], checks[order][heads]
+        self.least = np.minimum.reduceat(own[order], heads) if len(heads) else own
         self.place = np.empty(len(order), np.int64)  # of each window among the distinct hashes
+        fresh = np.zeros(len(order), np.int64)
+        fresh[heads] = 1
         self.place[order] = np.cumsum(fresh) - 1
         self.own = own
 
@@ -81,6 +81,19 @@ class Group:
         return np.cumsum(change[:-1]) > 0
 
 
+def in_order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal hashes with equal checks stand together, where each such run begins)."""
+    order = np.argsort(hashes, kind="stable")
+    for again in (False, True):
+        h, c = hashes[order], checks[order]
+        same = h[1:] == h[:-1]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ~same | (c[1:] != c[:-1])
+        if again or not (same & fresh[1:]).any():
+            return order, np.flatnonzero(fresh)
+        order = np.lexsort((checks, hashes))
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """64-bit numbers by byte planes, compressed: planes of zeros cost nothing."""
     import zstandard
@@ -96,19 +109,33 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as places among the distinct ones, which stand before them."""
+    known, place = np.unique(ids, return_inverse=True)
+    return len(known).to_bytes(8, "little") + pack(np.concatenate([np.diff(known.view(np.uint64), prepend=np.uint64(0)), place.astype(np.uint64)]))
+
+
+def unpack_ids(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    both = unpack(raw[8:])
+    return np.cumsum(both[:n], dtype=np.uint64).view(np.int64)[both[n:].view(np.int64)]
+
+
+BLOCKS = pa.schema([("grp", pa.int32()), ("rng", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())])
+
+
 def blocks(rows: pa.Table, window: int, ranges: int) -> pa.Table:
-    """A group's distinct hashes with their least ids, a row for each range."""
+    """A group's distinct hashes with their checks and least ids, a row for each range."""
     forget()
     own = Group(rows, window)
     cuts = own.cuts(ranges)
     group = rows.column("grp")[0].as_py()
     out = []
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        h = own.hashes[cuts[k] : cuts[k + 1]]
-        steps = np.diff(h, prepend=np.uint64(0))
-        out.append((group, int(k), pack(steps), pack(own.least[cuts[k] : cuts[k + 1]].view(np.uint64))))
-    cols = list(zip(*out, strict=True)) or [[]] * 4
-    return pa.table({"grp": pa.array(cols[0], pa.int32()), "rng": pa.array(cols[1], pa.int32()), "hashes": pa.array(cols[2], pa.binary()), "ids": pa.array(cols[3], pa.binary())})
+        part = slice(cuts[k], cuts[k + 1])
+        steps = np.diff(own.hashes[part], prepend=np.uint64(0))
+        out.append((group, int(k), pack(steps), own.checks[part].tobytes(), pack_ids(own.least[part])))
+    return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * 5, BLOCKS, strict=True)], schema=BLOCKS)
 
 
 def answers(batches):
@@ -117,19 +144,16 @@ def answers(batches):
     for rng in sorted({r["rng"] for r in held}):
         own = [r for r in held if r["rng"] == rng]
         hashes = [np.cumsum(unpack(r["hashes"]), dtype=np.uint64) for r in own]
-        ids = [unpack(r["ids"]).view(np.int64) for r in own]
-        sizes = np.array([len(h) for h in hashes])
-        h, i = np.concatenate(hashes), np.concatenate(ids)
-        hashes, ids = [], []
-        order = np.argsort(h, kind="stable")
-        h, by_hash = h[order], i[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = h[1:] != h[:-1]
-        least = np.minimum.reduceat(by_hash, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        ends = np.cumsum([len(h) for h in hashes])
+        h = np.concatenate(hashes)
+        hashes = []
+        order, heads = in_order(h, np.concatenate([np.frombuffer(r["checks"], np.uint16) for r in own]))
+        h = np.concatenate([unpack_ids(r["ids"]) for r in own])
+        sizes = np.diff(np.append(heads, len(order)))
+        least = np.repeat(np.minimum.reduceat(h[order], heads), sizes)
         later = np.empty(len(h), bool)
-        later[order] = by_hash > least
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(later[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)]
+        later[order] = h[order] > least
+        bits = [np.packbits(x).tobytes() for x in np.split(later, ends[:-1])]
         cols = {"grp": pa.array([r["grp"] for r in own], pa.int32()), "rng": pa.array([rng] * len(own), pa.int32()), "bits": pa.array(bits, pa.binary())}
         yield pa.RecordBatch.from_pydict(cols)
 
@@ -147,7 +171,7 @@ def finish(rows: pa.Table, answered: pa.Table, window: int, ranges: int, with_te
         s, e = cuts[r["rng"]], cuts[r["rng"] + 1]
         elsewhere[s:e] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(e - s)).astype(bool)
     gone = own.removed(elsewhere)
-    bounds = np.searchsorted(own.doc_of_word, np.arange(len(own.texts) + 1), "left")
+    bounds = np.append(0, np.cumsum(own.counts))
     out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "removed", "kept_text")}
     for k, text in enumerate(own.texts):
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -176,7 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.coalesce(F.xxhash64("doc_id", F.lit(3)), F.lit(0)) if "doc_id" in rows.columns else F.lit(0)
     dealt = rows.withColumn("grp", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key), F.lit(groups)).cast("int"))
     dealt = dealt.repartition(max(groups, 1), "grp")
-    sent = dealt.groupBy("grp").applyInArrow(lambda t: blocks(t, window, ranges), "grp int, rng int, hashes binary, ids binary")
+    sent = dealt.groupBy("grp").applyInArrow(lambda t: blocks(t, window, ranges), "grp int, rng int, hashes binary, checks binary, ids binary")
     heard = sent.repartitionById(ranges, F.col("rng")).mapInArrow(leaving_tidy(answers), "grp int, rng int, bits binary")
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string"
     done = dealt.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: finish(t, a, window, ranges, with_text), ddl)

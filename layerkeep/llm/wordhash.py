@@ -1,47 +1,26 @@
-"""Words of many texts at once as 64-bit polynomial hashes, and hashes of runs of words.
-
-Both are Rabin-Karp hashes modulo 2^64 with odd bases, taken from prefix sums:
-the hash of a stretch is the difference of two prefix sums, brought to a
-common origin by an inverse power, then mixed.
+"""Words of many texts at once as numbers, and Rabin-Karp hashes of runs of words.
+
+A word is the BLAKE2b digest of its UTF-8. A run is a polynomial over its words
+modulo a prime, evaluated by doubling: the hash of 2k words is that of the
+first k, times a power of the base, plus that of the last k. There are two
+such hashes: one of 61 bits modulo 2^61 - 1, and one of 31 bits modulo 2^31 - 1
+for those who need more. Prime moduli leave no texts, such as Thue-Morse words,
+that collide whatever the base.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-BYTE_BASE, WORD_BASE = 6364136223846793005, 3935559000370003845
-_M = 2**64 - 1
-#: Bytes hashed at a time.
-BLOCK = 1 << 20
-
-_white = np.zeros(256, bool)
-_white[[0x20, 9, 10, 11, 12, 13]] = True
-WHITE_TABLE = _white
-#: Bytes as they are, and with A-Z as a-z.
-SAME = np.arange(256, dtype=np.uint8)
-LOWER = SAME.copy()
-LOWER[0x41:0x5B] += 32
+import hashlib
+from itertools import chain
 
-_rng = np.random.default_rng(20240229)
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = max(n, BLOCK + 1)
-        got = np.full(size, base & _M, np.uint64)
-        got[0] = 1
-        got = np.multiply.accumulate(got)
-        _powers[base] = got
-    return got[:n]
+import numpy as np
+import pyarrow as pa
 
+WIDE, NARROW = 2**61 - 1, 2**31 - 1
+WIDE_BASE, NARROW_BASE = 0x0D3A_61C5_92F7_4B1E, 0x5B1D_37A9
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
+#: A-Z as a-z, other bytes as they are.
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,40 +31,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' UTF-8 in one array, parted by line feeds, and where each begins."""
+def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text, and for each word its numbers below ``WIDE`` and ``NARROW``); words part at white space."""
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    return data, np.cumsum(sizes) - sizes
-
-
-def words(data: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, hash of each word); words are runs of bytes that are not white."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~WHITE_TABLE[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[0::2], edge[1::2]
-    out = np.empty(len(starts), np.uint64)
-    values, back = BYTE_VALUE[fold], inverse(BYTE_BASE)
-    k = 0
-    while k < len(starts):
-        last = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, "right")))
-        base, stop = starts[k], ends[last - 1]
-        n = int(stop - base)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data[base:stop]] * powers(BYTE_BASE, n), out=sums[1:])
-        s, e = starts[k:last] - base, ends[k:last] - base
-        out[k:last] = (sums[e] - sums[s]) * powers(back, n)[s]
-        k = last
-    return starts, mix(out)
-
-
-def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` consecutive words: len(hashes) - size + 1 of them."""
-    n = len(hashes)
-    if n < size:
+    parts = [(x.translate(LOWER) if lower else x).split() for x in raw]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    coded = pa.array(list(chain.from_iterable(parts)), pa.large_binary()).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+    at = coded.indices.to_numpy()
+    numbers = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return counts, (numbers[:, 0] % np.uint64(WIDE))[at], (numbers[:, 1] % np.uint64(NARROW))[at]
+
+
+def wide_times(a: np.ndarray, c: int) -> np.ndarray:
+    """a * c modulo ``WIDE``, from products of at most 62 bits."""
+    u = np.uint64
+    c1, c0 = u(c >> 31), u(c & 0x7FFFFFFF)
+    a1, a0 = a >> u(31), a & u(0x7FFFFFFF)
+    middle = a1 * c0
+    middle += a0 * c1
+    a1 *= c1
+    a1 += a1
+    a0 *= c0
+    a1 += a0
+    a1 += middle >> u(30)
+    middle &= u(0x3FFFFFFF)
+    middle <<= u(31)
+    a1 += middle
+    return folded(a1, 61)
+
+
+def narrow_times(a: np.ndarray, c: int) -> np.ndarray:
+    """a * c modulo ``NARROW``."""
+    return folded(folded(a * np.uint64(c), 31), 31)
+
+
+def folded(x: np.ndarray, bits: int) -> np.ndarray:
+    """A number of less than 2^64 (for 61 bits) or 2^62 (for 31) nearer to below the Mersenne prime of so many bits."""
+    p = np.uint64((1 << bits) - 1)
+    out = x & p
+    x >>= np.uint64(bits)
+    out += x
+    out[out == p] = 0
+    return np.where(out > p, out - p, out) if bits == 61 else out
+
+
+def runs(numbers: np.ndarray, size: int, wide: bool = True) -> np.ndarray:
+    """The hash of every ``size`` consecutive words: len(numbers) - size + 1 of them."""
+    n = len(numbers)
+    if n < size or not size:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(WORD_BASE, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse(WORD_BASE), n)[: n - size + 1])
+    prime, base = (WIDE, WIDE_BASE) if wide else (NARROW, NARROW_BASE)
+
+    def joined(left: np.ndarray, right: np.ndarray, k: int, length: int) -> np.ndarray:
+        """Hashes of runs of left's length, then ``length`` words of ``right``."""
+        ahead = right[k : k + n]
+        power = pow(base, length, prime)
+        out = (wide_times if wide else narrow_times)(left[: len(ahead)], power)
+        out += ahead
+        return folded(out, 61 if wide else 31)
+
+    out, have, power, k = None, 0, numbers, 1
+    while True:
+        if size & k:
+            out, have = (power, k) if out is None else (joined(out, power, have, k), have + k)
+        if have == size:
+            return out
+        power, k = joined(power, power, k, k), 2 * k

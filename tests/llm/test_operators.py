@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from layerkeep.llm import byte_bpe, components, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, substring_dedup, token_counts, toxicity, wordhash
-from test_queries import license_brute, near_brute, shingles, substring_brute
+from test_queries import WORD, license_brute, near_brute, shingles, substring_brute
 
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -152,13 +153,39 @@ def test_packed_numbers():
 
 def test_word_hashes_follow_words():
     rng = random.Random(1)
-    texts = ["".join(rng.choice("aB é\n\t漢") for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "x" * 3_000_000 + " y"]
-    data, begins = wordhash.joined(texts)
-    starts, hashes = wordhash.words(data)
-    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-    assert len(words) == len(starts) == len(hashes)
-    seen = {}
-    assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    texts = ["".join(rng.choice("aB é\n\t\x1c漢") for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "x" * 3_000_000 + " y"]
+    counts, wide, narrow = wordhash.words(texts)
+    own = [WORD.findall(t or "") for t in texts]
+    words = [w for x in own for w in x]
+    assert counts.tolist() == [len(x) for x in own] and len(words) == len(wide) == len(narrow)
+    for hashes in (wide, narrow):
+        seen = {}
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 6, 50])
+def test_runs_are_polynomials(size):
+    rng = random.Random(size)
+    for wide, prime, base in ((True, wordhash.WIDE, wordhash.WIDE_BASE), (False, wordhash.NARROW, wordhash.NARROW_BASE)):
+        x = [rng.randrange(prime) for _ in range(150)] + [prime - 1] * 60
+        want = [sum(n * pow(base, size - 1 - j, prime) for j, n in enumerate(x[i : i + size])) % prime for i in range(len(x) - size + 1)]
+        assert wordhash.runs(np.array(x, np.uint64), size, wide).tolist() == want
+
+
+def thue_morse(n, zero, one):
+    return [one if bin(i).count("1") % 2 else zero for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_and_windows_that_collide_modulo_powers_of_two(spark, n):
+    """Thue-Morse sequences and their complements, as letters of a word and as words of a text."""
+    shared = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*shared[:49], "".join(thue_morse(n, *x)), *shared[49:]]) for x in ("ab", "ba")]
+    texts += [" ".join(thue_morse(n, *x)) for x in (("x", "y"), ("y", "x"))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert got == substring_brute(list(enumerate(texts)))
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert near == near_brute(list(enumerate(texts)))
 
 
 # -- 2 -------------------------------------------------------------------------------------------------------------
@@ -475,3 +502,47 @@ def test_near_copies_in_dense_regions(spark):
     want = near_brute(list(enumerate(texts)))
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
     assert len(shingles("one two")) == 1
+
+
+def test_regions_cut_at_a_bound_count_as_not_covered():
+    word = lambda k: bytes([0, 1, 0, 2, 0, 3, 0, k, 0, 0, 0, 0])
+    rows = [(4, word(k), 10 + k, 100) for k in range(4)] + [(4, bytes(12), 1, 100)]
+    one = near_dedup.neighbours(75)
+
+    def run(part):
+        names = ("tree", "word", "rep", "n_shingles")
+        return [x for b in one([pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*part, strict=True)), strict=True)))]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    parts = [run(sorted(rows)[:3]), run(sorted(rows)[3:])]
+    members = {a for part in parts for kind, _, a, _ in part if kind == 1}
+    assert {10, 11, 12, 13} <= members
+    assert len({r for part in parts for kind, r, a, _ in part if kind == 1 and a >= 10}) == 1  # one region again
+
+
+def test_no_link_is_lost_between_regions_components(spark):
+    """The exact join of what neighbours leave, from components as they might be, against brute force."""
+    rng = random.Random(14)
+    base = [rng.randrange(10**6) for _ in range(200)]
+    sets = {}
+    for k in range(150):
+        kept = [x for x in base[: rng.choice([60, 120, 200])] if rng.random() < rng.choice([0.75, 0.88, 0.97])]
+        sets[k] = sorted({*kept, *(rng.randrange(10**6) for _ in range(rng.randrange(20)))})
+    parts = {k: rng.choice([k, 0, 1, 2]) for k in sets}
+    like = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))
+    links = [(a, b) for a in sets for b in sets if a < b and like(a, b)]
+    known = {}
+
+    def root(x):
+        while known.setdefault(x, x) != x:
+            x = known[x]
+        return x
+
+    for a, b in links + list(parts.items()):
+        x, y = sorted((root(a), root(b)))
+        known[y] = x
+    raw = spark.createDataFrame([(k, np.array(x, "<u8").tobytes()) for k, x in sets.items()], "doc_id long, shingles binary")
+    held = spark.createDataFrame(list(parts.items()), "node long, component long")
+    rest = held.selectExpr("node", "component", "cast(cast(node % 3 as string) as binary) as region")
+    got = {r.node: r.component for r in near_dedup.rest_parts(rest, held, raw, 75).collect()}
+    groups = lambda f: sorted(sorted(k for k in sets if f(k) == g) for g in {f(k) for k in sets})
+    assert len(links) > 100 and groups(lambda k: got.get(k, k)) == groups(root)
