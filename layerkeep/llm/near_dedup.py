@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,8 +46,10 @@ SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 6, 3, 2
 #: Candidates of a class that are confirmed first.
 BEST = 3
-#: Nodes in a block, and nodes held against it in one task, on average.
-BLOCK, SIDE = 256, 256
+#: Shingles in a block's sets (8 bytes each), and nodes held against it in one task, on average; nodes of a component that has blocks of its own.
+BLOCK, SIDE, LARGE = 1 << 19, 256, 256
+#: Rows of an Arrow batch of shingles, on average.
+UNPACKED = 100_000
 #: A size class holds the sets of up to so many times its smallest set's shingles.
 BAND = 1.1
 #: Ids broadcast at most, counted first; beyond, the join shuffles.
@@ -221,15 +224,16 @@ def enough(shared: Column, n: Column, band: Column, percent: int) -> Column:
 
 
 def in_blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, n, band, block: about ``BLOCK`` nodes each of one size class, of one large component or of one region."""
+    """node, n, band, block: sets of about ``BLOCK`` shingles of one size class, of one large component or of regions put together."""
     total = rest.count()
     weighed = weights(rest, total)
     sizes = sets.select(F.col("doc_id").alias("node"), F.expr("octet_length(shingles) div 8").alias("n"))
     banded = weighed.join(sizes, "node").withColumn("band", band_of(F.col("n")))
-    grouped = banded.withColumn("grp", F.when(F.col("weight") >= BLOCK, F.xxhash64("component", "band", F.lit(1))).otherwise(F.xxhash64("region", "band")))
-    sized = join_small_groups(grouped, grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), ["grp"], "size", total)
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    return sized.select("node", "n", "band", F.xxhash64("grp", part).alias("block"))
+    grouped = banded.withColumn("large", F.when(F.col("weight") >= LARGE, F.col("component")))
+    sized = grouped.groupBy("band", "large").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))  # few rows: size classes and large components
+    placed = grouped.join(sized, grouped.band.eqNullSafe(sized.band) & grouped.large.eqNullSafe(sized.large)).drop(sized.band).drop(sized.large)
+    near = F.when(F.col("large").isNull(), F.xxhash64("region")).otherwise(F.xxhash64("node"))
+    return placed.select("node", "n", "band", F.xxhash64("band", F.coalesce("large", F.lit(-1)), F.pmod(near, "blocks")).alias("block"))
 
 
 def weights(nodes: DataFrame, total: int) -> DataFrame:
@@ -241,13 +245,17 @@ _BLOCKS = ("node", "n", "band", "block")
 
 
 def _unpack(batches):
-    """A row for each shingle of each set."""
+    """A row for each shingle of each set, in batches of bounded size."""
     schema = pa.schema([(c, pa.int64()) for c in (*_BLOCKS, "h")])
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
-        sizes = np.array([len(x) for x in sets])
-        cols = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in _BLOCKS]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, np.concatenate(sets))], schema=schema)
+        sets = batch.column("shingles")
+        sizes = pc.binary_length(sets).to_numpy(zero_copy_only=False) // 8
+        runs = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), UNPACKED))
+        for i, j in zip(runs, [*runs[1:], len(sets)], strict=True):
+            if i < j:
+                cols = [np.repeat(batch.column(c).slice(i, j - i).to_numpy(), sizes[i:j]) for c in _BLOCKS]
+                own = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in sets.slice(i, j - i)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, own)], schema=schema)
 
 
 def reach_of(percent: int) -> range:

@@ -465,7 +465,9 @@ def test_scans_against_brute_force():
 # -- 10 ------------------------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [components.PART_LINKS, 150, 7])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "PART_LINKS", most)
     rng = random.Random(12)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5000, 5000)]
     part = {}
