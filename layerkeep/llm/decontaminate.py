@@ -20,14 +20,16 @@ template: it has only lower-cased windows, and only equal tokens count. An item
 shorter than the window is matched as a whole; one of fewer than
 ``LEAST_TOKENS`` tokens never matches.
 
-Everything is DataFrame operations. Null texts have no tokens. Rows that repeat
+Everything is DataFrame operations. Null and empty texts have no tokens, very long
+ones are read whole. Rows that repeat
 an id are one document, whose best alignment counts; null ids are one document.
 Items with null text never match. Empty tables give an empty result; other
 columns are ignored.
 
-The benchmark's windows are broadcast up to ``MOST_BROADCAST`` rows, counted
-first; beyond, the join shuffles. The same goes for the alignments, which are
-written to the shared folder before their texts are looked at again.
+The benchmark's windows, its items and the alignments are broadcast up to
+``MOST_BROADCAST`` rows and ``MOST_BYTES`` bytes, counted first; beyond, the joins
+shuffle. Documents are read twice: once for the windows, and once for those of
+the alignments, which are written to the shared folder before.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW, LEAST_COVERAGE, LEAST_TOKENS = 8, 0.5, 4
-MOST_BROADCAST = 500_000
+#: Rows and bytes of a broadcast at most, both counted.
+MOST_BROADCAST, MOST_BYTES = 500_000, 64_000_000
 WHITE = " \t\n\x0b\f\r"
 TRIM = ".,;:!?\"'()[]{}<>*%&$#@|_-=+~`/\\…«»“”‘’—–"
 #: Stands before a token that begins a sentence.
@@ -136,22 +139,30 @@ def item_windows(items: DataFrame, k: int, whole: bool) -> DataFrame:
     return typed.unionByName(own.select("item_id", F.posexplode(window_hashes(plain_hashes(F.col("item_raw")), k)).alias("q", "w")))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+def small(df: DataFrame, *sizes: str) -> DataFrame:
+    """``df`` (a written table) for broadcast where its rows and the bytes of the named arrays are few, both counted."""
+    weight = [F.size(c) * 40 + F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x) * 4) for c in sizes]  # characters take 4 bytes at most
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(weight, F.lit(64))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen.n <= MOST_BROADCAST and seen.bytes <= MOST_BYTES else df
 
 
 def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """doc_id, item_id, offset: where windows of both are equal."""
-    lengths = [r.n_item for r in items.filter(F.col("n_item") < window).select("n_item").distinct().collect()]  # at most window - 1 values
-    out = None
-    for k in [window, *sorted(lengths)]:
-        sides = written(item_windows(items, k, k < window), "windows")
-        # the canonical window of each place, then the lower-cased one
-        both = let(raw_tokens(F.col("text")), lambda r: F.flatten(F.zip_with(window_hashes(token_hashes(r), k), window_hashes(plain_hashes(r), k), lambda a, b: F.array(a, b))))  # noqa: B023
-        found = docs.select("doc_id", F.posexplode(both).alias("at", "w")).join(small(sides, sides.count()), "w")
-        found = found.groupBy("doc_id", "item_id", (F.shiftright("at", 1) - F.col("q")).alias("offset")).agg(F.count(F.lit(1)).alias("windows"))
-        out = found if out is None else out.unionByName(found)
-    return written(out.select("doc_id", "item_id", "offset").distinct(), "alignments")
+    """doc_id, item_id, offset: where windows of both are equal. Documents are read and cut into tokens once, whatever lengths short items have."""
+    lengths = sorted(r.n_item for r in items.filter(F.col("n_item") < window).select("n_item").distinct().collect())  # at most window - 1 values
+    sizes = [*lengths, window]
+    sides = item_windows(items, window, False)
+    for k in lengths:
+        sides = sides.unionByName(item_windows(items, k, True))
+    sides = written(sides, "windows")
+
+    def windows(raw: Column) -> Column:
+        """For each length the hashes of all windows: the canonical one of each place, then the lower-cased one."""
+        both = lambda t, p, k: F.flatten(F.zip_with(window_hashes(t, k), window_hashes(p, k), lambda x, y: F.array(x, y)))
+        return let(token_hashes(raw), lambda t: let(plain_hashes(raw), lambda p: F.array(*[both(t, p, k) for k in sizes])))
+
+    found = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), windows)).alias("x")).select("doc_id", F.posexplode("x").alias("at", "w"))
+    found = found.join(small(sides), "w").select("doc_id", "item_id", (F.shiftright("at", 1) - F.col("q")).alias("offset"))
+    return written(found.distinct(), "alignments")
 
 
 def judged(pairs: DataFrame) -> DataFrame:
@@ -187,9 +198,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = written(items_of(benchmark, item_col, item_text_col), "items")
     aligned = alignments(rows, items, window)
-    n = aligned.count()
-    some = rows.withColumnRenamed("doc_id", "d").join(small(aligned, n), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
-    pairs = some.join(small(items, items.count()), "item_id")
+    some = rows.withColumnRenamed("doc_id", "d").join(small(aligned), F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
+    pairs = some.join(small(items, "item_raw", "item_canon"), "item_id")
     found = judged(pairs).filter(F.col("consistent") & (F.col("n_matched") >= least * F.col("n_item")))
     best = F.max(F.struct("n_matched", "verbatim", (-F.col("first_token")).alias("at"), "n_item", "n_slots"))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))

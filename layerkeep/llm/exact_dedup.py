@@ -4,14 +4,14 @@
 ever added. New data is deduplicated in itself, then against the index by a
 sort-merge anti-join on the digest (the index side needs no shuffle or sort:
 its table is bucketed and sorted by digest), and the survivors are appended.
+``resolve`` puts a table through an index of its own and states for every row
+which row of its group stays.
 
-``resolve`` states for every row of one table which row of its group stays.
-
-Everything is DataFrame operations. A text is null: it counts as empty. A
-document id that is null sorts before all others among ties. Rows that are
+Everything is DataFrame operations. A null text counts as empty, very long ones
+are read whole. A null id sorts before all others among ties. Rows that are
 repeated are copies like any others (each is returned; the group counts all).
 An empty table gives an empty result. Other columns are ignored by
-``resolve`` and carried along by ``ExactDedupIndex.add``.
+``resolve`` and carried along by ``ExactDedupIndex.add``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WHITE, join_small_groups, partitions, shared_dir, table, written
 
@@ -46,16 +47,6 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best.getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def bucketed(df: DataFrame, kind: str, n_buckets: int) -> DataFrame:
-    """``df`` written once as a table bucketed and sorted by digest."""
-    spark = df.sparkSession
-    name = f"layerkeep_{kind}_{uuid.uuid4().hex[:12]}"
-    path = f"{shared_dir(spark)}/layerkeep/{name}"
-    laid = df.repartition(n_buckets, "digest")
-    laid.write.format("parquet").bucketBy(n_buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -64,10 +55,10 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_b
     length all carry ``kept`` (they are one document).
     """
     spark = docs.sparkSession
-    n = n_buckets or partitions(spark)
+    index = ExactDedupIndex(spark, f"layerkeep_digests_{uuid.uuid4().hex[:12]}", n_buckets=n_buckets or partitions(spark))
     rows = written(digests(docs, id_col, text_col), "digests")
-    index = bucketed(representatives(rows), "digests", n)
-    both = join_small_groups(rows, index, ["digest"], "group_size", rows.count())
+    index.append(index.fresh(rows))
+    both = join_small_groups(rows, index.table(), ["digest"], "group_size", rows.count())
     return both.select(
         "doc_id", "keep_id", F.col("group_size").cast("long"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -79,41 +70,45 @@ class ExactDedupIndex:
     """A digest index that lasts: its Parquet files lie under ``path``, its table is registered on use.
 
     ``add`` returns the rows of new data whose text is neither in the index
-    nor an earlier choice within the data, and appends their digests. The rows
-    are decided and written before the index grows, so a lost executor or a
-    retried task cannot make a document meet its own digest.
+    nor an earlier choice within the data, one for each text, and appends their
+    digests. The rows are decided and written before the index grows, so a lost
+    executor or a retried task cannot make a document meet its own digest.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, n_buckets: int = 64):
         self.spark, self.name, self.n_buckets = spark, name, n_buckets
         self.path = path or f"{shared_dir(spark)}/layerkeep/index-{name}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n_buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def table(self) -> DataFrame:
+        """digest, keep_id, group_size: how many rows had the text when it was added."""
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def fresh(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """digest, keep_id of new texts that the index lacks: a sort-merge anti-join."""
-        new = representatives(digests(docs, id_col, text_col)).select("digest", "keep_id")
-        return new.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+    def fresh(self, rows: DataFrame) -> DataFrame:
+        """digest, keep_id, group_size of the texts of ``rows`` (as of ``digests``) that the index lacks: a sort-merge anti-join."""
+        return written(representatives(rows).join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        fresh = written(self.fresh(docs, id_col, text_col), "fresh")
-        kept = written(with_digest(docs, text_col).join(
-            fresh.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")),
-            (F.col("__digest") == F.col("__digest_of")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi",
-        ).drop("__digest_of").dropDuplicates([id_col, text_col]), "kept")
-        laid = fresh.repartition(self.n_buckets, "digest")
+    def append(self, fresh: DataFrame) -> None:
+        laid = fresh.select("digest", "keep_id", "group_size").repartition(self.n_buckets, "digest")
         laid.write.format("parquet").mode("append").bucketBy(self.n_buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        return kept
-
 
-def with_digest(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__digest_of", F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        own = "__new"
+        while any(c.startswith(own) for c in docs.columns):
+            own += "_"
+        fresh = self.fresh(digests(docs, id_col, text_col))
+        text = F.col(text_col).cast("string")
+        new = docs.withColumns({f"{own}1": F.unhex(F.sha2(normalised(text).cast("binary"), 256)), f"{own}2": F.coalesce(F.length(text), F.lit(0)), f"{own}3": F.coalesce(text, F.lit(""))})
+        new = new.join(fresh.select(F.col("digest").alias(f"{own}4"), F.col("keep_id").alias(f"{own}5")), (F.col(f"{own}1") == F.col(f"{own}4")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{own}5")), "inner")
+        # rows of the id that stays may differ in white space: the longest stays, then the least
+        place = F.row_number().over(Window.partitionBy(f"{own}1").orderBy(F.desc(f"{own}2"), f"{own}3"))
+        kept = written(new.withColumn(f"{own}6", place).filter(F.col(f"{own}6") == 1).select(*docs.columns), "kept")
+        self.append(fresh)
+        return kept
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

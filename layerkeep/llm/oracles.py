@@ -52,7 +52,7 @@ _LICENSE = r"""
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
 p(phrase, label) AS (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')),
-t(pattern, label) AS (VALUES @T@),
+t(pattern, label, score) AS (VALUES @T@),
 v AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
 f AS (
   SELECT doc_id, place - 1 AS place, label FROM v JOIN p ON string_split(phrase, ' ')[1] = v.word
@@ -60,7 +60,7 @@ f AS (
 b AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY doc_id),
 a AS (
   SELECT doc_id, label, 0.75 AS score FROM f
-  UNION ALL SELECT doc_id, label, 1.0 FROM w, t WHERE regexp_matches(' ' || array_to_string(words, ' ') || ' ', pattern)),
+  UNION ALL SELECT doc_id, label, score FROM w, t WHERE regexp_matches(' ' || array_to_string(words, ' ') || ' ', pattern)),
 g AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM a GROUP BY doc_id)
 SELECT w.doc_id, len(words) AS n_words, coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(g.score, 0)::DOUBLE AS score
@@ -124,7 +124,7 @@ def template_pattern(template: str) -> str:
 
 
 def license_sql() -> str:
-    rows = ", ".join(f"('{template_pattern(x)}', '{label}')" for label, x in license_scan.TEMPLATES.items())
+    rows = ", ".join(f"('{template_pattern(x)}', '{label}', {1.0 if label in license_scan.TEXTS else 0.9})" for label, x in license_scan.TEMPLATES.items())
     return _LICENSE.replace("@T@", rows)
 
 

@@ -9,12 +9,14 @@ are an entry with the word before or after it that clean documents hold far
 more often than toxic ones; a hit inside one counts nothing. The score is a
 logistic function of the weight of the hits, alone and per hundred words.
 
-Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows (those
-whose hashed ids are least) and of each at most ``SAMPLE_CHARS`` characters; two
+Learning uses at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows, those
+whose hashed ids are least, and fewer where their texts, which are taken whole,
+pass ``SAMPLE_CHARS`` characters together; two
 thirds choose the lexicon, the rest fit the logistic function. Of near copies
 in the sample one is kept. Scoring reads whole texts.
 
-Null and empty texts score as texts without hits. Without labelled rows of
+Null and empty texts score as texts without hits, very long ones are read whole.
+An empty table gives an empty result. Without labelled rows of
 both kinds every score is 0. Rows are answered alone: repeated rows, null ids
 and other columns change nothing. Labels that are null or neither 0 nor 1 are
 left out; a document labelled more than once is toxic if any of its labels is.
@@ -36,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, table
+from .common import cached, id_text, least_hashes, leaving_tidy, remainder, rows_of, table, written
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_400, 3_600, 20_000
-#: Lengths of word beginnings that may enter the lexicon; its most entries; words of an exception phrase's entry.
-STEM_MIN, STEM_MAX, MOST_ENTRIES = 4, 10, 2_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_400, 3_600, 40_000_000
+#: Lengths of word beginnings that may enter the lexicon.
+STEM_MIN, STEM_MAX = 4, 10
 
 #: Characters that stand for Latin letters.
 LOOKALIKES = {
@@ -127,10 +129,14 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> dict[str, float]:
         if n * len(clean) > 4 * m * len(toxic) and (g := log_likelihood(n, m, len(toxic), len(clean))) > level:
             scored.append((-g * (1 + 0.01 * len(e.strip())), e.endswith(" "), e, math.log(((n + 0.5) / (len(toxic) + 1)) / ((m + 0.5) / (len(clean) + 1)))))
     chosen: dict[str, float] = {}
+    stems, beginnings = set(), set()
     for *_, e, w in sorted(scored):
         stem = e.rstrip()
-        if len(chosen) < MOST_ENTRIES and not any(stem.startswith(c.rstrip()) or c.rstrip().startswith(stem) for c in chosen):
+        own = {stem[:k] for k in range(1, len(stem) + 1)}
+        if stem not in beginnings and stems.isdisjoint(own):
             chosen[e] = w
+            stems.add(stem)
+            beginnings |= own
     return chosen
 
 
@@ -222,9 +228,18 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         near = near | (F.col("y") == r.y) & least_hashes(F.col("o"), wanted[r.y], r["count"])
     ranked = known.withColumn("o", F.xxhash64(F.col("i"), F.lit(11))).filter(near).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("o", "i")))
     chosen = ranked.filter(F.col("n") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN))
-    own = id_text(docs, "doc_id", "text")
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("t")
-    got = own.join(F.broadcast(chosen.select("i", "y", "n")), F.col("doc_id") == F.col("i")).select("y", "n", text)
+    own = id_text(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    known = own.join(F.broadcast(chosen.select("i", "y", "n")), F.col("doc_id") == F.col("i"))
+    sizes = written(known.select("i", "y", "n", F.length("t").alias("size")), "sizes").collect()  # as many rows as are sampled, but for repeated ids
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.n, r.y, r.i, r["size"])):
+        if not taken or total + r["size"] <= SAMPLE_CHARS:
+            taken.append((r.i, r["size"]))
+            total += r["size"]
+    if not taken:
+        return []
+    ids = docs.sparkSession.createDataFrame(taken, "i2 long, size long").distinct()
+    got = known.join(F.broadcast(ids), (F.col("i") == F.col("i2")) & (F.length("t") == F.col("size"))).select("n", "y", "t")
     return [(r.t, r.y) for r in sorted(got.collect(), key=lambda r: (r.n, r.y, r.t))]
 
 
@@ -248,7 +263,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_hits, weight. The model (bounded by ``MOST_ENTRIES`` and the sample) is broadcast."""
+    """doc_id, score, n_hits, weight. The model (bounded by the sample) is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(asdict(model))
     key = hashlib.sha256(json.dumps(asdict(model), sort_keys=True).encode()).hexdigest()
 

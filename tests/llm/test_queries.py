@@ -1,6 +1,7 @@
 """The registered queries against SQL or brute force on the driver's tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from layerkeep.llm import queries as llm
+from layerkeep.llm import toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,11 +91,31 @@ def test_op6(spark, sf_dir, docs):
         assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
 
 
+def plain_score(model, text):
+    """A text's score by looking for every entry at every place."""
+    if not model.coefficients:
+        return 0.0, 0
+    folded = toxicity.fold(text or "", toxicity.fold_table())
+    places = lambda e: [i for i in range(len(folded)) if folded.startswith(e, i)]
+    spared = [(i, i + len(e)) for e in model.exceptions for i in places(e)]
+    hits = [w for e, w in model.weights.items() if e not in model.exceptions for i in places(e) if not any(a <= i and i + len(e) <= b for a, b in spared)]
+    weight = sum(hits)
+    words = max(1, len(folded.split()))
+    a, b, c = model.coefficients
+    return 1 / (1 + math.exp(-(a * math.log1p(weight) + b * math.log1p(100 * weight / words) + c))), len(hits)
+
+
 def test_op7(spark, sf_dir, docs, duck):
     got = {r.doc_id: r for r in rows(spark, sf_dir, "op7_toxicity")}
-    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
+    held_out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in got}
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == held_out[r.doc_id] for r in got.values())
     labels = duck.sql("SELECT doc_id, toxic FROM labels").fetchall()
-    assert np.mean([got[d].predicted == t for d, t in labels]) > 0.85
+    kept = [(d, t) for d, t in labels if not held_out[d]]
+    model = toxicity.learn(toxicity.sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame(kept, "doc_id long, toxic int")))
+    for d, text, *_ in docs:
+        score, hits = plain_score(model, text)
+        assert (got[d].score, got[d].n_hits) == (pytest.approx(score, abs=1e-9), hits)
+    assert np.mean([got[d].predicted == t for d, t in labels if held_out[d]]) > 0.8
 
 
 def license_brute(text):
