@@ -3,7 +3,10 @@
 Language identification drops documents in which no language is recognised;
 exact dedup and MinHash near-dedup keep one document of each group; benchmark
 decontamination drops documents that hold an item of ``benchmark``; byte-level
-BPE encodes what is left and decodes it again. A row without an id cannot be
+BPE encodes what is left and decodes it again: its rows are the training set, all
+columns of the documents with n_tokens, ids and the digests of both. Documents
+without text are ``und`` and go first; very long ones are read whole by all
+stages; empty tables stay empty. A row without an id cannot be
 named by a decision and stays. Of rows that repeat an id and its text (but for
 white space) one stays; an id with several texts is so many documents.
 """
@@ -65,7 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.public_round_trip(docs)
+    return byte_bpe.with_ids(docs, *byte_bpe.public_files())
 
 
 STAGES = [
