@@ -29,5 +29,6 @@ def classified(current: Column, candidate: Column) -> Column:
 def parse_key(key: Column) -> Column:
     """The unsigned 64-bit key of decimal text, or null: digits only, no overflow."""
     text = key.cast("string")
-    number = F.when(text.rlike("^[0-9]+$") & (F.length(F.ltrim(F.lit("0"), text)) <= 20), text.try_cast("decimal(38,0)"))
+    digits = F.ltrim(text, F.lit("0"))
+    number = F.when(text.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 20), F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(38,0)"))
     return F.when(number <= whole(2**64 - 1), number.cast("decimal(20,0)"))

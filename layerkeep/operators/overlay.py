@@ -2,7 +2,8 @@
 
 A layer is a DataFrame (pk, row), one row for each key. There is no merging of
 fields: a null field of the newest row wins too. ``visible`` unites the layers
-with their rank and keeps the least rank for each key with partial aggregation;
+with their rank, shuffles them once and keeps the first row of each key; a lone
+layer, whose keys are unique, is returned as it is;
 asking for some fields only prunes the others at the scans. Filters on pk pass
 through to all layers.
 """
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
 from ..functions.hashing import signed
@@ -32,16 +34,18 @@ def visible(layers: Sequence[DataFrame], fields: Sequence[str] | None = None, so
     if not layers:
         raise InvalidArgument("no layers")
     ranked = [_columns(x, fields).withColumn("__rank", F.lit(k)) for k, x in enumerate(layers)]
-    both = ranked[0]
-    for x in ranked[1:]:
-        both = both.unionByName(x)
-    out = both.groupBy("pk").agg(F.min(F.struct("__rank")).getField("__rank").alias("__least"), F.min_by("row", "__rank").alias("row"))
-    return out.select("pk", "row", F.col("__least").alias(source)) if source else out.select("pk", "row")
+    out = ranked[0]
+    if len(ranked) > 1:
+        for x in ranked[1:]:
+            out = out.unionByName(x)
+        place = F.row_number().over(Window.partitionBy("pk").orderBy("__rank"))
+        out = out.withColumn("__place", place).filter("__place = 1")
+    return out.select("pk", "row", F.col("__rank").alias(source)) if source else out.select("pk", "row")
 
 
 def newer_wins(newer: DataFrame, older: DataFrame) -> DataFrame:
-    """The rows of ``newer``, and of ``older`` those whose key it lacks."""
-    return newer.select("pk", "row").unionByName(older.select("pk", "row").join(newer.select("pk"), "pk", "left_anti"))
+    """The rows of ``newer``, and of ``older`` those whose key it lacks; each is read once."""
+    return visible([newer, older])
 
 
 def keys_frame(spark: SparkSession, keys: Iterable[int]) -> DataFrame:
@@ -60,9 +64,7 @@ def lookup(layers: Sequence[DataFrame], keys: DataFrame, n_keys: int | None = No
     if n_keys is not None and n_keys <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     some = [x.join(wanted, "pk", "left_semi") for x in layers]
-    found = visible(some, fields)
-    if n_keys is not None and n_keys <= MOST_BROADCAST:
-        found = F.broadcast(found)  # as many rows as distinct keys at most
+    found = visible(some, fields)  # whole rows: adaptive execution broadcasts them where their bytes are few
     return keys.select("pos", "pk").join(found, "pk", "left").select("pos", "pk", "row")
 
 

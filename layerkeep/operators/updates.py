@@ -116,10 +116,12 @@ def within_capacity(log: DataFrame, capacity: int) -> DataFrame:
     """``log`` with ``fits``: whether the update's key was among the first ``capacity`` keys of its shard to arrive.
 
     An existing key may always be updated; a new one past capacity may not.
+    Each task ranks its own keys first and sends at most ``capacity`` of a shard.
     """
     first = log.groupBy("shard_id", "pk").agg(F.min("seq").alias("first_seq"))
     rank = F.row_number().over(Window.partitionBy("shard_id").orderBy("first_seq"))
-    return log.join(first.select("pk", (rank <= capacity).alias("fits")), "pk")
+    admitted = first.withColumn("place", rank).filter(F.col("place") <= capacity).select("pk", F.lit(True).alias("fits"))
+    return log.join(admitted, "pk", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
 
 
 def check_capacity(log: DataFrame, capacity: int) -> None:

@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one for each operator, and the SQL that each must equal.
 
-``customer`` serves as a full snapshot, some of ``orders`` as a compact layer and
-``events`` as the update log (key user_id, offset event_id). Money is in whole
+``customer`` serves as a full snapshot, ``orders`` as a compact layer (a third of
+its keys moved, so that some keys lie in one layer only) and ``events`` as the
+update log (key user_id, offset event_id). Money is in whole
 cents, so that both engines compare whole numbers.
 """
 
@@ -13,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import FailedPrecondition
 from ..functions import fields, hashing, positions, wire
 from ..operators import maintain, overlay, updates
 from ..schema import Field, Schema
-from ..sources.artifact import Artifact, Progress, write_artifact
+from ..sources.artifact import Artifact, Progress, misplaced_keys, write_artifact
 from ..sources.builder import BuildOptions, build
 from ..sources.schema_file import SchemaFile, format_schema
 from ..sources.files import Files
@@ -26,6 +28,8 @@ from .index import LayeredIndex, Mode
 
 SCHEMA = Schema.of(1, Field(1, "a", "string"), Field(2, "b", "int64"))
 SHARDS, SEED = 8, 17
+#: Added to the compact layer's keys that are multiples of three.
+MOVED = 10_000_000_000
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -34,6 +38,8 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not held:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise FailedPrecondition("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='layerkeep-')}")
         held = spark.sparkContext.getCheckpointDir()
     return f"{held.rstrip('/')}/layerkeep/{what}-{uuid.uuid4().hex}"
@@ -60,8 +66,8 @@ def full_layer(spark, d):
 
 
 def compact_layer(spark, d):
-    some = table(spark, d, "orders").filter("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("pk"))
-    return some.agg(F.max_by(row(F.col("o_orderpriority"), cents("o_totalprice")), "o_orderkey").alias("row"))
+    key = F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") + MOVED).otherwise(F.col("o_custkey"))
+    return table(spark, d, "orders").groupBy(key.alias("pk")).agg(F.max_by(row(F.col("o_orderpriority"), cents("o_totalprice")), "o_orderkey").alias("row"))
 
 
 def event_log(spark, d):
@@ -79,7 +85,7 @@ def flat(df: DataFrame, *extra: str) -> DataFrame:
 
 # Pieces of the SQL: the three layers with their ranks, newest first.
 RT = "SELECT user_id AS pk, max_by(struct_pack(a := event_type, b := CAST(round(value * 100) AS BIGINT)), event_id) AS r FROM events GROUP BY 1"
-CD = "SELECT o_custkey AS pk, max_by(struct_pack(a := o_orderpriority, b := CAST(round(o_totalprice * 100) AS BIGINT)), o_orderkey) AS r FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1"
+CD = f"SELECT CASE WHEN o_custkey % 3 = 0 THEN o_custkey + {MOVED} ELSE o_custkey END AS pk, max_by(struct_pack(a := o_orderpriority, b := CAST(round(o_totalprice * 100) AS BIGINT)), o_orderkey) AS r FROM orders GROUP BY 1"
 FS = "SELECT c_custkey AS pk, struct_pack(a := c_mktsegment, b := CAST(round(c_acctbal * 100) AS BIGINT)) AS r FROM customer"
 
 
@@ -226,8 +232,10 @@ def commit_checkpoint(spark, d):
 
 def _progress(spark, d):
     log = parted_log(spark, d)
-    ends = updates.checkpoint(log).withColumnRenamed("next_offset", "high_watermark")
-    return updates.lag(updates.checkpoint(log.filter("offset % 10 < 7 and partition <> 3")), ends)
+    ends = updates.checkpoint(log)
+    # a consumer that is three messages behind for each partition's number, and has not begun with partition 3
+    committed = ends.filter("partition <> 3").withColumn("next_offset", F.greatest(F.lit(0), F.col("next_offset") - 3 * F.col("partition")))
+    return updates.lag(committed, ends.withColumnRenamed("next_offset", "high_watermark"))
 
 
 def partition_lag(spark, d):
@@ -253,12 +261,19 @@ def parse_kafka_key(spark, d):
 
 # -- maintenance ---------------------------------------------------------------------------------------------------
 
-#: Messages that arrived before this offset are compacted.
-BOUNDARY = 500
+def boundary(log: DataFrame) -> int:
+    """Half of the log is compacted: what arrived before this."""
+    last = log.agg(F.max("seq")).first()[0]
+    return 0 if last is None else (last + 1) // 2
+
+
+#: The same in SQL.
+HALF = "(SELECT coalesce(max(event_id) + 1, 0) // 2 FROM events)"
 
 
 def compact_build(spark, d):
-    return flat(maintain.compacted(event_log(spark, d), BOUNDARY, compact_layer(spark, d)))
+    log = event_log(spark, d)
+    return flat(maintain.compacted(log, boundary(log), compact_layer(spark, d)))
 
 
 def rebase_build(spark, d):
@@ -267,15 +282,23 @@ def rebase_build(spark, d):
 
 def compaction_preserves_reads(spark, d):
     log, full, old = event_log(spark, d), full_layer(spark, d), compact_layer(spark, d)
-    before = overlay.visible([updates.latest(log).select("pk", "row"), old, full])
-    successor = updates.latest(log.filter(F.col("seq") >= BOUNDARY)).select("pk", "row")
-    after = overlay.visible([successor, maintain.compacted(log, BOUNDARY, old), full])
+    before, half = overlay.visible([updates.latest(log).select("pk", "row"), old, full]), boundary(log)
+    successor = updates.latest(log.filter(F.col("seq") >= half)).select("pk", "row")
+    after = overlay.visible([successor, maintain.compacted(log, half, old), full])
     both = before.select("pk", F.col("row").alias("x")).join(after.select("pk", F.col("row").alias("y")), "pk", "full_outer")
     return both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differences"), F.count(F.lit(1)).alias("keys"))
 
 
+def realtime_to_boundary(spark, d):
+    """What a compaction takes."""
+    log = event_log(spark, d)
+    return flat(updates.latest(log, boundary(log)), "offset")
+
+
 def post_boundary_visible(spark, d):
-    return flat(updates.latest(event_log(spark, d), BOUNDARY), "offset")
+    """What stays in the successor's realtime layer after a compaction."""
+    log = event_log(spark, d)
+    return flat(updates.latest(log.filter(F.col("seq") >= boundary(log))), "offset")
 
 
 # -- keys, shards, statistics --------------------------------------------------------------------------------------
@@ -287,7 +310,7 @@ def stable_hash_shard(spark, d):
 
 
 def rows_per_shard(spark, d):
-    rows = hashing.with_shard(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("pk")), SHARDS, seed=SEED)
+    rows = hashing.with_shard(table(spark, d, "orders").select(F.col("o_orderkey").alias("pk")), SHARDS, seed=SEED)
     every = spark.range(SHARDS).select(F.col("id").cast("int").alias("shard_id"))
     counted = rows.groupBy("shard_id").count()
     return every.join(counted, "shard_id", "left").select(F.col("shard_id").cast("long").alias("shard_id"), F.coalesce("count", F.lit(0)).alias("rows"))
@@ -323,6 +346,14 @@ def duplicate_keys(spark, d):
     return overlay.duplicate_keys(table(spark, d, "lineitem").select(key))
 
 
+def key_validation(spark, d):
+    """The keys of an artifact's rows that lie in a wrong shard: every tenth row was moved to the next one."""
+    rows = hashing.with_shard(table(spark, d, "orders").select(F.col("o_orderkey").alias("pk")), SHARDS, seed=SEED)
+    moved = F.when(F.col("pk") % 10 == 0, (F.col("shard_id") + 1) % SHARDS).otherwise(F.col("shard_id"))
+    found = misplaced_keys(rows.withColumn("shard_id", moved.cast("int")), SHARDS, SEED)
+    return found.select("pk", F.col("shard_id").cast("long").alias("shard_id"), F.col("own_shard").cast("long").alias("own_shard"))
+
+
 def pk_violations(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, F.lit(None)).when(F.col("o_orderkey") % 13 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("pk"))
     return overlay.bad_keys(rows, "pk")
@@ -399,12 +430,27 @@ def stream_upserts(spark, d):
     return flat(index.visible())
 
 
+def stream_decisions(spark, d):
+    """Every message of the late log against its key's newest position, as state of a stream."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    path, held = scratch(spark, "decisions"), spark.conf.get(name)
+    late_log(spark, d).select("pk", "partition", "offset", "seq").coalesce(4).write.parquet(f"{path}/messages")
+    stream = spark.readStream.schema("pk long, partition int, offset long, seq long").parquet(f"{path}/messages")
+    spark.conf.set(name, provider)
+    try:
+        query = upserts.decisions(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, held)
+    return spark.read.schema("pk long, partition int, offset long, decision string").parquet(f"{path}/out").select("pk", F.col("offset").alias("o"), "decision")
+
+
 QUERIES = [
     overlay_visible, overlay_three_layers, overlay_null_wins, overlay_some_fields, mode_full_only, mode_full_realtime, point_get, mget_order_dups_misses, mget_table, snapshot_sorted,
     has_get_default, get_list_states, schema_add_field, schema_delete_field, payload_pool_bytes, latest_by_offset, classify_positions, replay_dedup_idempotent,
     cross_partition_conflicts, commit_checkpoint, partition_lag, catch_up_required, capacity_admission, parse_kafka_key, compact_build, rebase_build,
-    compaction_preserves_reads, post_boundary_visible, stable_hash_shard, rows_per_shard, delta_stats, unique_key_ratio, should_compact, duplicate_keys, pk_violations,
-    wire_roundtrip, artifact_roundtrip, offline_build, load_and_catch_up, runtime_status, compact_and_rebase, stream_upserts,
+    compaction_preserves_reads, realtime_to_boundary, post_boundary_visible, stable_hash_shard, rows_per_shard, delta_stats, unique_key_ratio, should_compact, duplicate_keys, key_validation, pk_violations,
+    wire_roundtrip, artifact_roundtrip, offline_build, load_and_catch_up, runtime_status, compact_and_rebase, stream_upserts, stream_decisions,
 ]
 
 
@@ -426,6 +472,8 @@ def shard_sql(key: str, shards: int) -> str:
     return f"({hash_sql(key, SEED)} & {shards - 1})"
 
 
+PROGRESS = """SELECT part, CASE WHEN part = 3 THEN 0 ELSE greatest(0, top - 3 * part) END AS committed, top AS high_watermark FROM (
+            SELECT event_id % 4 AS part, max(event_id) + 1 AS top FROM events GROUP BY 1)"""
 SLOT = SCHEMA.layout().slot_bytes
 KEYED = """CASE event_id % 5 WHEN 0 THEN 'x' || user_id WHEN 1 THEN '18446744073709551616' WHEN 2 THEN '18446744073709551615' WHEN 3 THEN '-' || user_id ELSE user_id::VARCHAR END"""
 
@@ -433,7 +481,7 @@ KEYED = """CASE event_id % 5 WHEN 0 THEN 'x' || user_id WHEN 1 THEN '18446744073
 def oracle_sql() -> dict[str, str]:
     pab = "pk, r.a AS a, r.b AS b"
     newer = lambda new, old: f"SELECT {pab} FROM (SELECT pk, r FROM ({new}) UNION ALL SELECT pk, r FROM ({old}) o WHERE pk NOT IN (SELECT pk FROM ({new})))"
-    before = RT.replace("FROM events", f"FROM events WHERE event_id < {BOUNDARY}")
+    before = RT.replace("FROM events", f"FROM events WHERE event_id < {HALF}")
     latest = "SELECT user_id AS pk, max_by(event_type, event_id) AS a, max_by(CAST(round(value * 100) AS BIGINT), event_id) AS b, max(event_id) AS \"offset\" FROM events {} GROUP BY 1"
     visible = sql_overlay(RT, FS, tail=pab)
     return {
@@ -463,10 +511,8 @@ def oracle_sql() -> dict[str, str]:
         "cross_partition_conflicts": """SELECT user_id AS pk, min(p) AS low, max(p) AS high FROM (SELECT user_id, CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END::BIGINT AS p FROM events)
             GROUP BY 1 HAVING min(p) <> max(p)""",
         "commit_checkpoint": "SELECT 'events' AS topic, event_id % 4 AS part, max(event_id) + 1 AS next_offset FROM events GROUP BY 2",
-        "partition_lag": """SELECT 'events' AS topic, part, committed, high_watermark, greatest(0, high_watermark - committed) AS lag FROM (
-            SELECT event_id % 4 AS part, coalesce(max(event_id) FILTER (WHERE event_id % 10 < 7 AND event_id % 4 <> 3) + 1, 0) AS committed, max(event_id) + 1 AS high_watermark FROM events GROUP BY 1)""",
-        "catch_up_required": """SELECT bool_or(committed < high) AS required FROM (
-            SELECT event_id % 4 AS part, coalesce(max(event_id) FILTER (WHERE event_id % 10 < 7 AND event_id % 4 <> 3) + 1, 0) AS committed, max(event_id) + 1 AS high FROM events GROUP BY 1)""",
+        "partition_lag": f"SELECT 'events' AS topic, part, committed, high_watermark, high_watermark - committed AS lag FROM ({PROGRESS})",
+        "catch_up_required": f"SELECT bool_or(committed < high_watermark) AS required FROM ({PROGRESS})",
         "capacity_admission": f"""WITH k AS (SELECT user_id, min(event_id) AS f, count(*) AS n FROM events GROUP BY 1),
             s AS (SELECT *, {shard_sql('user_id', 4)}::INTEGER AS shard_id FROM k),
             r AS (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY f) AS place FROM s)
@@ -477,9 +523,13 @@ def oracle_sql() -> dict[str, str]:
         "compact_build": newer(before, CD),
         "rebase_build": newer(CD, FS),
         "compaction_preserves_reads": f"SELECT 0::BIGINT AS differences, count(*) AS keys FROM ({sql_overlay(RT, CD, FS)})",
-        "post_boundary_visible": latest.format(f"WHERE event_id < {BOUNDARY}"),
+        "realtime_to_boundary": latest.format(f"WHERE event_id < {HALF}"),
+        "post_boundary_visible": latest.format(f"WHERE event_id >= {HALF}"),
+        "key_validation": f"""SELECT o_orderkey AS pk, (s + 1) % {SHARDS} AS shard_id, s AS own_shard FROM (SELECT o_orderkey, {shard_sql('o_orderkey', SHARDS)} AS s FROM orders WHERE o_orderkey % 10 = 0)""",
+        "stream_decisions": f"""SELECT pk, o, CASE WHEN o < cur THEN 'stale' WHEN o = cur THEN 'idempotent' ELSE 'newer' END AS decision FROM (
+            SELECT *, max(o) OVER (PARTITION BY pk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur FROM ({LATE}))""",
         "stable_hash_shard": f"SELECT o_orderkey AS pk, {hash_sql('o_orderkey', SEED)} AS hash, {shard_sql('o_orderkey', SHARDS)} AS shard_id FROM orders",
-        "rows_per_shard": f"SELECT s AS shard_id, count(k) AS rows FROM range({SHARDS}) t(s) LEFT JOIN (SELECT {shard_sql('r_regionkey', SHARDS)} AS k FROM region) ON k = s GROUP BY s",
+        "rows_per_shard": f"SELECT s AS shard_id, count(k) AS rows FROM range({SHARDS}) t(s) LEFT JOIN (SELECT {shard_sql('o_orderkey', SHARDS)} AS k FROM orders) ON k = s GROUP BY s",
         "delta_stats": f"""SELECT {CAPACITY}::BIGINT AS capacity, count(DISTINCT user_id) AS unique_keys, count(*) AS published_rows, count(*) * {SLOT} AS slot_bytes,
             sum(strlen(event_type))::BIGINT AS payload_bytes FROM events""",
         "unique_key_ratio": f"""SELECT u AS unique_keys, n AS full_rows, floor(u * 1000000 / n)::BIGINT AS ratio_millionths, floor(u * 1000000 / {CAPACITY})::BIGINT AS load_millionths

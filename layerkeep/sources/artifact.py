@@ -101,6 +101,12 @@ def parse_manifest(text: str, *, shard_count: int | None = None, hash_seed: int
     return out
 
 
+def misplaced_keys(rows: DataFrame, shard_count: int, hash_seed: int = 0, hash_version: int = 1) -> DataFrame:
+    """shard_id, pk, own_shard of the rows (shard_id, pk) that lie in another shard than their key's."""
+    dealt = with_shard(rows.select("shard_id", "pk"), shard_count, out="own_shard", seed=hash_seed, version=hash_version)
+    return dealt.filter("shard_id <> own_shard").select("shard_id", "pk", "own_shard")
+
+
 def shard_sums(rows: DataFrame) -> DataFrame:
     """shard_id, n, checksum of (shard_id, pk, row)."""
     return rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("pk", "row").cast("decimal(20,0)")).cast("string").alias("checksum"))
@@ -170,8 +176,8 @@ class Artifact:
     def check_keys(self, spark: SparkSession) -> None:
         """Raises if a key lies in another shard than its hash says, or occurs twice; needs a shuffle by key."""
         m = self.manifest
-        rows = with_shard(self.rows(spark).select("shard_id", "pk"), m.shard_count, out="__own", seed=m.hash_seed, version=m.hash_version)
-        if wrong := rows.filter("shard_id <> __own").first():
-            raise FailedPrecondition(f"a key of shard {wrong['__own']} lies in shard {wrong.shard_id}")
+        rows = self.rows(spark)
+        if wrong := misplaced_keys(rows, m.shard_count, m.hash_seed, m.hash_version).first():
+            raise FailedPrecondition(f"a key of shard {wrong.own_shard} lies in shard {wrong.shard_id}")
         if again := duplicate_keys(rows).first():
             raise FailedPrecondition(f"key {again.pk & (2**64 - 1)} occurs {again.n} times")

@@ -8,6 +8,8 @@ columns are ignored. Folders named like partitions add no columns.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +53,48 @@ def _same(a: T.DataType, b: T.DataType) -> bool:
     return a == b
 
 
-def _resolved(df: DataFrame, schema: Schema, key: str) -> tuple[DataFrame, list]:
-    """(pk, row) from columns by name, and the checks to run: (whether a row is bad, message)."""
+#: Parquet's annotations that Spark reads as a wider signed type.
+WIDENED = {"INTEGER(8,false)": "uint8", "INTEGER(16,false)": "uint16", "INTEGER(32,false)": "uint32"}
+
+
+def footers(spark: SparkSession, files: list[str]) -> dict[str, dict[str, str]]:
+    """For each file the top-level columns with their Parquet types as text; only footers are read, several at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def one(path: str) -> dict[str, str]:
+        at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+        try:
+            return {f.getName(): f.toString() for f in reader.getFileMetaData().getSchema().getFields()}
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(files, pool.map(one, files), strict=True))
+
+
+def _file_checks(found: dict[str, dict[str, str]], schema: Schema) -> dict[str, list[str]]:
+    """Raises for a type that is not exactly a field's, and for a file without a required column; the files that lack one which has a default."""
+    absent: dict[str, list[str]] = {}
+    for path, columns in found.items():
+        for f in schema.fields:
+            if f.name not in columns:
+                if not f.nullable and f.default is None:
+                    raise InvalidArgument(f"{path} lacks the required column {f.name}")
+                absent.setdefault(f.name, []).append(path)
+            else:
+                for mark, kind in WIDENED.items():
+                    if mark in columns[f.name]:
+                        raise InvalidArgument(f"column {f.name} of {path} is {kind}, not {f.type}")
+    return absent
+
+
+def _resolved(df: DataFrame, schema: Schema, key: str, absent: dict[str, list[str]]) -> tuple[DataFrame, list]:
+    """(pk, row) from columns by name, and the checks to run: (whether a row is bad, message).
+
+    A null in a required column with a default is no fault in the files of
+    ``absent``, which lack the column.
+    """
     columns = {f.name: f.dataType for f in df.schema.fields}
     if key not in columns:
         raise InvalidArgument(f"the key column {key} is missing")
@@ -69,23 +111,24 @@ def _resolved(df: DataFrame, schema: Schema, key: str) -> tuple[DataFrame, list]
             raise InvalidArgument(f"column {f.name} is {columns[f.name].simpleString()}, not {f.spark_type.simpleString()}")
         x = F.col(f.name)
         if not f.nullable:
-            checks.append((x.isNull(), f"the required column {f.name} holds null"))
+            here = F.regexp_extract(F.input_file_name(), "([^:]*)$", 1)
+            lacking = here.isin([p.rsplit(":", 1)[-1].replace("///", "/") for p in absent[f.name]]) if f.name in absent else F.lit(False)
+            checks.append((x.isNull() & ~lacking, f"the required column {f.name} holds null"))
         if f.is_list:
             checks.append((F.exists(x, lambda e: e.isNull()), f"the list column {f.name} holds a null element"))
         parts.append(x.alias(f.name))
     return df.select(key_bits(F.col(key)).alias("pk"), F.struct(*parts).alias("row")), checks
 
 
-def merged(spark: SparkSession, path: str) -> DataFrame:
+def merged(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
     """All files below a path under the union of their columns; a column of two types is an error.
 
     Spark reads the footers in parallel and merges their schemas; a column that
     a file lacks is null in its rows.
     """
-    files = parquet_files(spark, path)
     reader = spark.read.option("mergeSchema", "true")
     try:
-        if any(f.rsplit("/", 1)[-1].startswith("_") for f in files):  # names that Spark would skip
+        if any("/_" in f for f in files):  # names that Spark would skip
             return reader.parquet(*files)
         return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
     except Exception as e:
@@ -101,8 +144,9 @@ def read_rows(spark: SparkSession, path: str, schema: Schema, key: str, check: b
     anything is returned.
     """
     schema.row_type()
-    df = merged(spark, path)
-    rows, checks = _resolved(df, schema, key)
+    files = parquet_files(spark, path)
+    df = merged(spark, path, files)
+    rows, checks = _resolved(df, schema, key, _file_checks(footers(spark, files), schema))
     if check:
         bad = df.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, (c, _) in enumerate(checks)]).first()
         for i, (_, message) in enumerate(checks):

@@ -1,13 +1,14 @@
-"""Schema files: a small, strict subset of YAML.
+"""Schema files: YAML documents of a fixed shape.
 
-Top-level keys ``schema_version``, ``shard_count``, ``hash_seed``, ``hash_version``,
-a ``primary_key`` mapping (name, type uint64) and a list ``fields`` of mappings
-with exactly field_id, name, type, is_list, nullable and encoding. Unknown keys
-are errors. Defaults and deleted fields have no form in the file.
+The file is loaded as YAML whose scalars all stay text, and then held against
+``DOCUMENT``, a table of the keys that each mapping may have, which of them it
+must have, and how a value's text is read. Anything else is an error. Defaults
+and deleted fields have no form in the file. Needs PyYAML.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
@@ -16,9 +17,6 @@ from ..errors import InvalidArgument
 from ..schema import Field, Schema
 from .files import Files
 
-FIELD_KEYS = ("field_id", "name", "type", "is_list", "nullable", "encoding")
-NUMBERS = ("schema_version", "shard_count", "hash_seed", "hash_version")
-
 
 @dataclass(frozen=True)
 class SchemaFile:
@@ -29,105 +27,110 @@ class SchemaFile:
     hash_version: int | None = None
 
 
-def without_comment(line: str) -> str:
-    """The line up to a ``#`` outside quotes."""
-    quote = ""
-    for i, c in enumerate(line):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == "#":
-            return line[:i]
-    return line
+def unsigned(text) -> int:
+    if isinstance(text, str) and text.isascii() and text.isdigit() and (n := int(text)) < 2**64:
+        return n
+    raise ValueError("is no unsigned 64-bit number")
+
+
+def flag(text) -> bool:
+    try:
+        return {"true": True, "false": False}[text]
+    except (KeyError, TypeError):
+        raise ValueError("is neither true nor false") from None
+
+
+def word(text) -> str:
+    if isinstance(text, str) and text:
+        return text
+    raise ValueError("is no text")
+
+
+def exactly(wanted: str) -> Callable:
+    def read(text) -> str:
+        if text != wanted:
+            raise ValueError(f"is not {wanted}")
+        return wanted
+
+    return read
 
 
-def _pair(text: str, line: int) -> tuple[str, str]:
-    key, colon, value = text.partition(":")
-    if not colon or not key.strip():
-        raise InvalidArgument(f"line {line}: no key and value")
-    value = value.strip()
-    if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
-        value = value[1:-1]
-    return key.strip(), value
+def mapping(required: dict[str, Callable], optional: dict[str, Callable] | None = None) -> Callable:
+    known = required | (optional or {})
 
+    def read(node) -> dict:
+        if not isinstance(node, dict):
+            raise ValueError("is no mapping")
+        wrong = [*(f"has the unknown key {k}" for k in node if k not in known), *(f"lacks {k}" for k in required if k not in node)]
+        if wrong:
+            raise ValueError(", ".join(wrong))
+        out = {}
+        for k, v in node.items():
+            try:
+                out[k] = known[k](v)
+            except ValueError as e:
+                raise ValueError(f"{k}: {v!r} {e}" if isinstance(v, str) else f"{k}: {e}") from None
+        return out
 
-def _number(value: str, what: str) -> int:
-    if not value.isascii() or not value.isdigit() or int(value) >= 2**64:
-        raise InvalidArgument(f"{what}: {value!r} is no unsigned number")
-    return int(value)
+    return read
 
 
-def _flag(value: str, what: str) -> bool:
-    if value not in ("true", "false"):
-        raise InvalidArgument(f"{what}: {value!r} is neither true nor false")
-    return value == "true"
+def listing(each: Callable) -> Callable:
+    def read(node) -> list:
+        if not isinstance(node, list) or not node:
+            raise ValueError("is no list of at least one entry")
+        return [each(x) for x in node]
+
+    return read
+
+
+#: The keys of the format.
+FIELD = {"field_id": unsigned, "name": word, "type": word, "is_list": flag, "nullable": flag, "encoding": word}
+KEY = {"name": word, "type": exactly("uint64")}
+SETTINGS = {"shard_count": unsigned, "hash_seed": unsigned, "hash_version": unsigned}
+DOCUMENT = mapping({"schema_version": unsigned, "primary_key": mapping(KEY), "fields": listing(mapping(FIELD))}, SETTINGS)
+
+
+def loaded(text: str):
+    """The document with scalars as text; a key that repeats is an error."""
+    import yaml
+
+    class Loader(yaml.BaseLoader):
+        def construct_mapping(self, node, deep=False):
+            names = [k.value for k, _ in node.value]
+            if len(set(names)) < len(names):
+                raise yaml.constructor.ConstructorError(None, None, "a key occurs twice", node.start_mark)
+            return super().construct_mapping(node, deep)
+
+    Loader.add_constructor("tag:yaml.org,2002:map", lambda self, node: self.construct_mapping(node, deep=True))
+    try:
+        return yaml.load(text, Loader)  # noqa: S506  BaseLoader makes text, lists and mappings only
+    except yaml.YAMLError as e:
+        raise InvalidArgument(f"the schema file is no YAML document: {e}") from e
 
 
 def parse(text: str) -> SchemaFile:
-    top: dict[str, str] = {}
-    key: dict[str, str] = {}
-    fields: list[dict[str, str]] = []
-    section = ""
-    for n, raw in enumerate(text.splitlines(), 1):
-        line = without_comment(raw).rstrip()
-        if not line.strip() or line.strip() == "---":
-            continue
-        indented = line[0] in " \t"
-        body = line.strip()
-        if not indented and not body.startswith("- "):
-            name, value = _pair(body, n)
-            section = name if name in ("primary_key", "fields") and not value else ""
-            if not section and name not in NUMBERS:
-                raise InvalidArgument(f"line {n}: unknown key {name}")
-            if name in top:
-                raise InvalidArgument(f"line {n}: {name} occurs twice")
-            top[name] = value
-            continue
-        if section == "primary_key" and not body.startswith("- "):
-            target = key
-        elif section == "fields":
-            if body.startswith("- "):
-                fields.append({})
-                body = body[2:].strip()
-            if not fields:
-                raise InvalidArgument(f"line {n}: a field begins with a dash")
-            target = fields[-1]
-        else:
-            raise InvalidArgument(f"line {n}: out of place")
-        name, value = _pair(body, n)
-        if name not in (("name", "type") if target is key else FIELD_KEYS):
-            raise InvalidArgument(f"line {n}: unknown key {name}")
-        if name in target:
-            raise InvalidArgument(f"line {n}: {name} occurs twice")
-        target[name] = value
-    if "schema_version" not in top:
-        raise InvalidArgument("schema_version is missing")
-    if not key.get("name") or key.get("type") != "uint64":
-        raise InvalidArgument("the primary key needs a name and the type uint64")
-    if not fields:
-        raise InvalidArgument("there are no fields")
-    schema = Schema(_number(top["schema_version"], "schema_version"))
-    for f in fields:
-        missing = [k for k in FIELD_KEYS if k not in f]
-        if missing:
-            raise InvalidArgument(f"field {f.get('name', '?')} lacks {', '.join(missing)}")
-        schema = schema.add_field(Field(_number(f["field_id"], "field_id"), f["name"], f["type"], _flag(f["is_list"], "is_list"), _flag(f["nullable"], "nullable"), f["encoding"]))
-    numbers = {k: _number(top[k], k) for k in NUMBERS[1:] if k in top}
-    return SchemaFile(schema, key["name"], **numbers)
+    try:
+        found = DOCUMENT(loaded(text))
+    except ValueError as e:
+        if isinstance(e, InvalidArgument):
+            raise
+        raise InvalidArgument(f"the schema file {e}") from None
+    schema = Schema(found["schema_version"])
+    for f in found["fields"]:
+        schema = schema.add_field(Field(**f))
+    return SchemaFile(schema, found["primary_key"]["name"], **{k: found[k] for k in SETTINGS if k in found})
 
 
 def format_schema(file: SchemaFile) -> str:
     """The file's text; fails on what the format cannot hold."""
+    import yaml
+
     if any(f.default is not None for f in file.schema.fields) or file.schema.deleted:
         raise InvalidArgument("defaults and deleted fields have no form in a schema file")
-    lines = [f"schema_version: {file.schema.version}"]
-    lines += [f"{k}: {v}" for k in NUMBERS[1:] if (v := getattr(file, k)) is not None]
-    lines += ["", "primary_key:", f"  name: {file.primary_key}", "  type: uint64", "", "fields:"]
-    for f in file.schema.fields:
-        values = (f.field_id, f.name, f.type, str(f.is_list).lower(), str(f.nullable).lower(), f.encoding)
-        lines += [f"  {'- ' if k == 'field_id' else '  '}{k}: {v}" for k, v in zip(FIELD_KEYS, values, strict=True)]
-    return "\n".join(lines) + "\n"
+    settings = {k: v for k in SETTINGS if (v := getattr(file, k)) is not None}
+    fields = [{k: getattr(f, k) for k in FIELD} for f in file.schema.fields]
+    return yaml.safe_dump({"schema_version": file.schema.version, **settings, "primary_key": {"name": file.primary_key, "type": "uint64"}, "fields": fields}, sort_keys=False)
 
 
 def read(spark: SparkSession, path: str) -> SchemaFile:

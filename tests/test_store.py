@@ -147,16 +147,16 @@ def test_build_of_all_types(spark, tmp_path):
     s = fixtures.all_types()
     made = fixtures.generate(spark, 500)
     made.write.parquet(f"{tmp_path}/in")
-    (tmp_path / "schema.yaml").write_text(schema_file.format_schema(schema_file.SchemaFile(s, "record_id", 4, 17, 1)))
+    (tmp_path / "schema.yaml").write_text(schema_file.format_schema(schema_file.SchemaFile(s, "item", 4, 17, 1)))
     done = builder.build(spark, builder.BuildOptions(f"{tmp_path}/schema.yaml", f"{tmp_path}/in", f"{tmp_path}/out", "x"))
-    assert (done.rows, done.manifest.schema.version, set(done.rows_by_shard)) == (500, 12, {0, 1, 2, 3})
+    assert (done.rows, done.manifest.schema.version, set(done.rows_by_shard)) == (500, 4, {0, 1, 2, 3})
     opened = Artifact.open(spark, f"file://{tmp_path}/out", shard_count=4, hash_seed=17)
     opened.verify(spark)
     opened.check_keys(spark)
     ours = opened.rows(spark).select("pk", "row.*")
-    theirs = made.select(hashing.key_bits(F.col("record_id")).alias("pk"), *[f.name for f in s.fields])
+    theirs = made.select(hashing.key_bits(F.col("item")).alias("pk"), *[f.name for f in s.fields])
     assert ours.exceptAll(theirs).count() == 0 and theirs.exceptAll(ours).count() == 0
-    assert schema_file.read(spark, f"{tmp_path}/out/schema.yaml").schema.version == 12
+    assert schema_file.read(spark, f"{tmp_path}/out/schema.yaml").schema.version == 4
     with pytest.raises(FailedPrecondition):
         builder.build(spark, builder.BuildOptions(f"{tmp_path}/schema.yaml", f"{tmp_path}/in", f"{tmp_path}/out", "x"))
 

@@ -169,4 +169,6 @@ def test_bad_schema_files(old, new):
 def test_schema_file_refuses_what_it_cannot_hold():
     with pytest.raises(InvalidArgument):
         format_schema(SchemaFile(Schema.of(1, Field(1, "x", "int32", default=3)), "id"))
-    assert schema_file.without_comment("a: '#1' # c") == "a: '#1' "
+    for bad in ("", "- 1", "a: [", SCHEMA_TEXT + "shard_count: 4\n", SCHEMA_TEXT.replace("fields:", "fields: 3\nx:")):
+        with pytest.raises(InvalidArgument):
+            schema_file.parse(bad)
