@@ -3,8 +3,10 @@
 Each shard has a generation with up to three layers: a full snapshot, a compact
 delta and a realtime log. Layers are folders that never change once published;
 a read fixes the folders it will use when it is planned, so a result outlives
-any later publication. The whole directory of shards is one value that is
-replaced under a lock and, where a root folder is given, saved by renaming.
+any later publication. The whole directory of shards is one value. A publication
+names the shards that it was made from and is refused if they have changed;
+then it is made again from those that serve now. The directory is saved by
+renaming, under the same lock, and an index can be opened again from it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -108,6 +110,7 @@ class Snapshot:
     schema: Schema
     rows: int
     artifact_id: str = ""
+    settings: maintain.HashSettings | None = None
 
 
 @dataclass(frozen=True)
@@ -135,6 +138,35 @@ class Shard:
         return next((x.schema for x in (self.realtime, self.compact, self.full) if x), None)
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A checked batch: its folder, and how many keys each shard's realtime layer has with it."""
+
+    folder: str
+    keys: dict[int, int]
+
+
+class Changed(Unavailable):
+    """The shards that a publication was made from serve no more."""
+
+
+#: How often a publication is made again before its caller hears of it.
+ATTEMPTS = 50
+
+
+def _saved(s: Shard) -> dict:
+    snapshot = lambda x: x and {"path": x.path, "schema": json.loads(x.schema.to_json()), "rows": x.rows, "artifact_id": x.artifact_id, "settings": x.settings and [x.settings.shards, x.settings.seed, x.settings.version]}
+    live = s.realtime and {"folders": list(s.realtime.folders), "schema": json.loads(s.realtime.schema.to_json()), "capacity": s.realtime.capacity, "stats": asdict(s.realtime.stats)}
+    return {"shard_id": s.shard_id, "generation": s.generation, "full": snapshot(s.full), "compact": snapshot(s.compact), "realtime": live, "error": s.error}
+
+
+def _restored(m: dict) -> Shard:
+    snapshot = lambda x: x and Snapshot(x["path"], Schema.from_json(x["schema"]), x["rows"], x["artifact_id"], x["settings"] and maintain.HashSettings(*x["settings"]))
+    r = m["realtime"]
+    live = r and Realtime(tuple(r["folders"]), Schema.from_json(r["schema"]), r["capacity"], updates.DeltaStats(**r["stats"]))
+    return Shard(m["shard_id"], m["generation"], snapshot(m["full"]), snapshot(m["compact"]), live, m["error"])
+
+
 def log_type(schema: Schema) -> T.StructType:
     return T.StructType([
         T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("seq", T.LongType()),
@@ -166,22 +198,52 @@ class LayeredIndex:
     def directory(self) -> tuple[Shard, ...]:
         return self._directory
 
-    def publish(self, *shards: Shard) -> None:
-        """Replaces the shards at once. A generation may not fall."""
+    def publish(self, *shards: Shard, base: tuple[Shard, ...] | None = None) -> None:
+        """Replaces the shards at once. A generation may not fall.
+
+        ``base`` is the directory that they were made from: if one of the shards
+        is another by now, nothing is published and ``Changed`` is raised.
+        """
         with self._lock:
             now = list(self._directory)
             for s in shards:
                 if not 0 <= s.shard_id < self.shards:
                     raise InvalidArgument(f"no shard {s.shard_id}")
+                if base is not None and now[s.shard_id] is not base[s.shard_id]:
+                    raise Changed(f"shard {s.shard_id} has changed")
                 if s.generation < now[s.shard_id].generation:
                     raise FailedPrecondition(f"shard {s.shard_id} has generation {now[s.shard_id].generation} already")
                 now[s.shard_id] = s
+            self._save(now)
             self._directory = tuple(now)
-        self._save()
 
-    def _save(self) -> None:
-        brief = [{"shard_id": s.shard_id, "generation": s.generation, "full": s.full and s.full.path, "compact": s.compact and s.compact.path, "realtime": s.realtime and s.realtime.folders} for s in self._directory]
-        Files(self.spark).write_text(f"{self.work}/directory.json", json.dumps(brief))
+    def _again(self, attempt: Callable[[], object]) -> object:
+        """``attempt``, anew whenever what it was made from has changed."""
+        for k in range(ATTEMPTS):
+            try:
+                return attempt()
+            except Changed:
+                if k == ATTEMPTS - 1:
+                    raise
+
+    def _save(self, shards: list[Shard]) -> None:
+        body = {"shards": self.shards, "seed": self.seed, "hash_version": self.hash_version, "mode": self.mode.value, "directory": [_saved(s) for s in shards]}
+        Files(self.spark).write_text(f"{self.work}/directory.json", json.dumps(body))
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, work: str, **options) -> LayeredIndex:
+        """The index as it was last published below ``work``; ``options`` are those of the constructor that are not saved."""
+        text = Files(spark).read_text(f"{work.rstrip('/')}/directory.json")
+        try:
+            m = json.loads(text)
+            out = cls(spark, work, m["shards"], m["seed"], m["hash_version"], Mode(m["mode"]), **options)
+            directory = tuple(_restored(x) for x in m["directory"])
+        except (KeyError, TypeError, ValueError) as e:
+            raise InvalidArgument(f"the saved directory is malformed: {e}") from e
+        if [s.shard_id for s in directory] != list(range(out.shards)):
+            raise InvalidArgument("the saved directory's shards are incomplete")
+        out._directory = directory
+        return out
 
     # -- reads -----------------------------------------------------------------------------------------------------
 
@@ -276,10 +338,18 @@ class LayeredIndex:
         """Gives every shard an empty realtime layer."""
         if not self.mode.realtime:
             raise FailedPrecondition("this mode has no realtime layer")
-        self.publish(*[replace(s, generation=s.generation + 1, realtime=Realtime((), schema, capacity, updates.DeltaStats(capacity))) for s in self._directory])
 
-    def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...]) -> str:
-        """Decodes, checks and writes a batch for ``target``; the folder. Nothing is published."""
+        def attempt() -> None:
+            now = self._directory
+            self.publish(*[replace(s, generation=s.generation + 1, realtime=Realtime((), schema, capacity, updates.DeltaStats(capacity))) for s in now], base=now)
+
+        self._again(attempt)
+
+    def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...]) -> Prepared:
+        """Decodes, checks and writes a batch for ``target``. Nothing is published.
+
+        Of earlier messages only keys and partitions are read, once.
+        """
         rows = decode_frames(messages, schema) if "payload" in messages.columns else messages.withColumn("error", F.lit(None).cast("string"))
         dealt = with_shard(rows, self.shards, seed=self.seed, version=self.hash_version)
         folder = f"{self.work}/realtime/{uuid.uuid4().hex}"
@@ -292,46 +362,58 @@ class LayeredIndex:
             code, _, message = bad.error.partition(": ")
             raise (InvalidArgument if code == "invalid_argument" else FailedPrecondition)(message)
         kept = checked.drop("error")
-        both = kept
+        both = kept.select("shard_id", "pk", "partition")
         if known:
-            both = kept.unionByName(self.spark.read.schema(log_type(schema)).parquet(*known))
-        if updates.conflicts(both).first():
-            raise FailedPrecondition("updates of one key come from different partitions")
-        updates.check_capacity(both, min(s.realtime.capacity for s in target if s.realtime))
+            both = both.unionByName(self.spark.read.schema(log_type(schema)).parquet(*known).select("shard_id", "pk", "partition"))
+        keys = both.groupBy("shard_id", "pk").agg(F.min("partition").alias("low"), F.max("partition").alias("high"))
+        seen = keys.groupBy("shard_id").agg(F.count(F.lit(1)).alias("keys"), F.bool_or(F.col("low") != F.col("high")).alias("conflict")).collect()  # one row for each shard
+        capacity = {s.shard_id: s.realtime.capacity for s in target if s.realtime}
+        for r in seen:
+            if r.conflict:
+                raise FailedPrecondition("updates of one key come from different partitions")
+            if r["keys"] > capacity[r.shard_id]:
+                raise FailedPrecondition(f"shard {r.shard_id} holds {r['keys']} keys, its capacity is {capacity[r.shard_id]}")
         kept.repartitionByRange("shard_id", "pk", "offset").sortWithinPartitions("shard_id", "pk").write.parquet(folder)  # a hot key spreads over tasks
         Files(self.spark).delete(f"{folder}-checked")
-        return folder
+        return Prepared(folder, {r.shard_id: r["keys"] for r in seen})
 
-    def with_folder(self, target: tuple[Shard, ...], folder: str, schema: Schema) -> tuple[Shard, ...]:
-        """The shards with a folder more in their realtime layer, and its statistics."""
+    def with_folder(self, target: tuple[Shard, ...], batch: Prepared, schema: Schema) -> tuple[Shard, ...]:
+        """The shards with the batch's folder more in their realtime layer; only the batch is read for their statistics."""
+        added = self._counted((batch.folder,), schema)
         out = []
         for s in target:
-            layer = replace(s.realtime, folders=(*s.realtime.folders, folder))
-            out.append(replace(s, realtime=layer))
-        log = self.log(out[0].realtime)
-        n, keys = F.count(F.lit(1)).alias("n"), F.count_distinct("pk").alias("keys")
-        seen = {r.shard_id: r for r in log.groupBy("shard_id").agg(n, keys, F.sum(payload_bytes(schema)).alias("bytes")).collect()}  # one row for each shard
-        slot = schema.layout().slot_bytes
-        done = []
-        for s in out:
-            r = seen.get(s.shard_id)
-            stats = updates.DeltaStats(s.realtime.capacity, r["keys"] if r else 0, r.n if r else 0, slot * r.n if r else 0, r.bytes if r else 0)
-            done.append(replace(s, realtime=replace(s.realtime, stats=stats)))
-        return tuple(done)
+            n, size = added.get(s.shard_id, (0, 0, 0))[1:]
+            old = s.realtime.stats
+            slots = old.slot_bytes + n * schema.layout().slot_bytes
+            stats = updates.DeltaStats(s.realtime.capacity, batch.keys.get(s.shard_id, 0), old.published_rows + n, slots, old.payload_bytes + size)
+            out.append(replace(s, realtime=replace(s.realtime, folders=(*s.realtime.folders, batch.folder), stats=stats)))
+        return tuple(out)
+
+    def _counted(self, folders: tuple[str, ...], schema: Schema) -> dict[int, tuple[int, int, int]]:
+        """Keys, messages and payload bytes of each shard in some folders of a realtime log."""
+        if not folders:
+            return {}
+        log = self.spark.read.schema(log_type(schema)).parquet(*folders)
+        n, keys, size = F.count(F.lit(1)).alias("n"), F.count_distinct("pk").alias("keys"), F.sum(payload_bytes(schema)).alias("bytes")
+        return {r.shard_id: (r["keys"], r.n, r.bytes) for r in log.groupBy("shard_id").agg(keys, n, size).collect()}  # one row for each shard
 
     def apply(self, messages: DataFrame) -> dict[tuple[str, int], int]:
         """Applies a batch (topic, partition, offset, seq, pk, payload or row) as a whole; the checkpoint to commit.
 
-        All of the batch is decoded and checked before any of it is published.
+        All of the batch is decoded and checked before any of it is published. If
+        the shards change meanwhile, it is checked against the new ones.
         """
-        target = self._directory
-        if any(s.realtime is None for s in target):
-            raise FailedPrecondition("there is no realtime layer")
-        schema = target[0].realtime.schema
-        folder = self.prepared(messages, schema, target)
-        made = self.with_folder(target, folder, schema)
-        if made:
-            self.publish(*[replace(s, generation=s.generation) for s in made])
+
+        def attempt() -> tuple[str, Schema]:
+            target = self._directory
+            if any(s.realtime is None for s in target):
+                raise FailedPrecondition("there is no realtime layer")
+            schema = target[0].realtime.schema
+            batch = self.prepared(messages, schema, target)
+            self.publish(*self.with_folder(target, batch, schema), base=target)
+            return batch.folder, schema
+
+        folder, schema = self._again(attempt)
         done = self.spark.read.schema(log_type(schema)).parquet(folder)
         return {(r.topic, r.partition): r.next_offset for r in updates.checkpoint(done).collect()}  # one row for each partition
 
@@ -375,24 +457,44 @@ class LayeredIndex:
         newest = updates.latest(log).select("pk", "row")
         path, rows = self._written(newest if old is None else overlay.newer_wins(newest, old), schema, "compact")
         taken = set(before[0].realtime.folders)
-        now = []
-        for s in self._directory:
-            left = tuple(f for f in s.realtime.folders if f not in taken)
-            now.append(replace(s, generation=s.generation + 1, compact=Snapshot(path, schema, rows[s.shard_id]), realtime=replace(s.realtime, folders=left, stats=updates.DeltaStats(s.realtime.capacity))))
-        self.publish(*now)
+
+        def attempt() -> None:
+            now = self._directory
+            if any(s.compact is not b.compact or s.realtime is None or s.realtime.schema != schema or not taken.issubset(s.realtime.folders) for s, b in zip(now, before, strict=True)):
+                raise FailedPrecondition("the layers that were compacted serve no more")
+            left = tuple(f for f in now[0].realtime.folders if f not in taken)
+            kept, slot, made = self._counted(left, schema), schema.layout().slot_bytes, []
+            for s in now:
+                keys, n, size = kept.get(s.shard_id, (0, 0, 0))
+                live = replace(s.realtime, folders=left, stats=updates.DeltaStats(s.realtime.capacity, keys, n, n * slot, size))
+                made.append(replace(s, generation=s.generation + 1, compact=Snapshot(path, schema, rows[s.shard_id], settings=self._settings()), realtime=live))
+            self.publish(*made, base=now)
+
+        self._again(attempt)
+
+    def _settings(self) -> maintain.HashSettings:
+        return maintain.HashSettings(self.shards, self.seed, self.hash_version)
 
     def rebase(self) -> None:
         """Compact rows over full ones become the full layer; no compact layer is left. The realtime layer must be empty."""
-        now = self._directory
-        if any(s.full is None for s in now):
+        before = self._directory
+        if any(s.full is None for s in before):
             raise FailedPrecondition("a rebase needs a full snapshot")
-        schema = max((x.schema for s in now for x in (s.full, s.compact) if x), key=lambda s: s.version)
-        layouts = [x.schema.layout() for s in now for x in (s.full, s.compact) if x]
-        own = maintain.HashSettings(self.shards, self.seed, self.hash_version)
+        snapshots = [x for s in before for x in (s.full, s.compact) if x]
+        schema = max((x.schema for x in snapshots), key=lambda s: s.version)
+        settings = [self._settings(), *(x.settings for x in snapshots if x.settings)]
         loading = any(not s.terminal for s in self._loads.values())
-        maintain.check_rebase(layouts, [own], loading, sum(s.realtime.stats.unique_keys for s in now if s.realtime))
-        path, rows = self._written(maintain.rebased(self._frames(now, "compact", schema), self._frames(now, "full", schema)), schema, "full")
-        self.publish(*[replace(s, generation=s.generation + 1, full=Snapshot(path, schema, rows[s.shard_id], s.full.artifact_id), compact=None) for s in now])
+        maintain.check_rebase([x.schema.layout() for x in snapshots], settings, loading, sum(s.realtime.stats.unique_keys for s in before if s.realtime))
+        path, rows = self._written(maintain.rebased(self._frames(before, "compact", schema), self._frames(before, "full", schema)), schema, "full")
+
+        def attempt() -> None:
+            now = self._directory
+            if any(s.full is not b.full or s.compact is not b.compact for s, b in zip(now, before, strict=True)):
+                raise FailedPrecondition("the layers that were rebased serve no more")
+            full = [Snapshot(path, schema, rows[s.shard_id], s.full.artifact_id, self._settings()) for s in now]
+            self.publish(*[replace(s, generation=s.generation + 1, full=f, compact=None) for s, f in zip(now, full, strict=True)], base=now)
+
+        self._again(attempt)
 
     # -- loads -----------------------------------------------------------------------------------------------------
 
@@ -465,19 +567,26 @@ class LayeredIndex:
         artifact = Artifact.open(self.spark, state.artifact_uri, self.schemes, **expected)
         m = artifact.manifest
         self._note(load_id, artifact_id=state.artifact_id or m.artifact_id)
-        artifact.verify(self.spark)  # reads all rows once: checks them, and warms the caches below
+        artifact.verify(self.spark)
         self._mark(load_id, every, loaded=True)
         self._stop_if_cancelled(load_id)
+        artifact.rows(self.spark).write.format("noop").mode("overwrite").save()  # every column once, for the caches of file systems
         self._mark(load_id, every, prewarmed=True)
-        full = {k: Snapshot(artifact.path, m.schema, m.rows[k], m.artifact_id) for k in every}
+        own = maintain.HashSettings(m.shard_count, m.hash_seed, m.hash_version)
+        full = {k: Snapshot(artifact.path, m.schema, m.rows[k], m.artifact_id, own) for k in every}
         if not needs:
             made = tuple(Shard(k, full=full[k]) for k in every)
         else:
             made = self._caught_up(load_id, tuple(Shard(k, full=full[k], realtime=Realtime((), m.schema, CATCH_UP_CAPACITY, updates.DeltaStats(CATCH_UP_CAPACITY))) for k in every), m)
         for s in made:
             self._stop_if_cancelled(load_id)
+
+            def attempt(s: Shard = s) -> None:
+                now = self._directory
+                self.publish(replace(s, generation=max(load_id, now[s.shard_id].generation + 1)), base=now)
+
             try:
-                self.publish(replace(s, generation=max(load_id, self._directory[s.shard_id].generation + 1)))
+                self._again(attempt)
             except Exception as e:
                 self._mark(load_id, [s.shard_id], message=str(e))
                 raise
@@ -502,9 +611,9 @@ class LayeredIndex:
             self._note(load_id, progress=tuple(target))
             batch = consumer.poll(100_000)
             if batch is not None:
-                folder = self.prepared(batch, m.schema, shards)
-                shards = self.with_folder(shards, folder, m.schema)
-                done = self.spark.read.schema(log_type(m.schema)).parquet(folder)
+                ready = self.prepared(batch, m.schema, shards)
+                shards = self.with_folder(shards, ready, m.schema)
+                done = self.spark.read.schema(log_type(m.schema)).parquet(ready.folder)
                 consumer.commit({(r.topic, r.partition): r.next_offset for r in updates.checkpoint(done).collect()})
             else:
                 time.sleep(0.1)

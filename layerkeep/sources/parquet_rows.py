@@ -8,6 +8,7 @@ columns are ignored. Folders named like partitions add no columns.
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,8 @@ def _same(a: T.DataType, b: T.DataType) -> bool:
     return a == b
 
 
+#: How a path may begin: ``file:/x`` and ``file:///x`` are one.
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
 #: Parquet's annotations that Spark reads as a wider signed type.
 WIDENED = {"INTEGER(8,false)": "uint8", "INTEGER(16,false)": "uint16", "INTEGER(32,false)": "uint32"}
 
@@ -111,8 +114,8 @@ def _resolved(df: DataFrame, schema: Schema, key: str, absent: dict[str, list[st
             raise InvalidArgument(f"column {f.name} is {columns[f.name].simpleString()}, not {f.spark_type.simpleString()}")
         x = F.col(f.name)
         if not f.nullable:
-            here = F.regexp_extract(F.input_file_name(), "([^:]*)$", 1)
-            lacking = here.isin([p.rsplit(":", 1)[-1].replace("///", "/") for p in absent[f.name]]) if f.name in absent else F.lit(False)
+            here = F.regexp_replace(F.input_file_name(), SCHEME, "/")
+            lacking = here.isin([re.sub(SCHEME, "/", p) for p in absent[f.name]]) if f.name in absent else F.lit(False)
             checks.append((x.isNull() & ~lacking, f"the required column {f.name} holds null"))
         if f.is_list:
             checks.append((F.exists(x, lambda e: e.isNull()), f"the list column {f.name} holds a null element"))
@@ -148,7 +151,8 @@ def read_rows(spark: SparkSession, path: str, schema: Schema, key: str, check: b
     df = merged(spark, path, files)
     rows, checks = _resolved(df, schema, key, _file_checks(footers(spark, files), schema))
     if check:
-        bad = df.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, (c, _) in enumerate(checks)]).first()
+        seen = df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(checks)])
+        bad = seen.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in seen.columns]).first()
         for i, (_, message) in enumerate(checks):
             if bad[f"c{i}"]:
                 raise InvalidArgument(message)

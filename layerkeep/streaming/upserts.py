@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
 from ..functions.positions import IDEMPOTENT, NEWER, STALE
+from ..plans.index import Changed
 from ..sources.update_log import MESSAGE, parsed
 
 
@@ -45,10 +46,15 @@ def ingest(stream: DataFrame, targets: list, checkpoint: str, available_now: boo
         try:
             if rows.isEmpty():
                 return
-            ready = [(t, t.directory(), t.directory()[0].realtime.schema) for t in targets]
-            folders = [t.prepared(rows, schema, shards) for t, shards, schema in ready]
-            for (t, shards, schema), folder in zip(ready, folders, strict=True):
-                t.publish(*t.with_folder(shards, folder, schema))
+            ready = []
+            for t in targets:
+                shards = t.directory()
+                ready.append((t, shards, t.prepared(rows, shards[0].realtime.schema, shards)))
+            for t, shards, batch in ready:
+                try:
+                    t.publish(*t.with_folder(shards, batch, shards[0].realtime.schema), base=shards)
+                except Changed:  # something else was published to this target: checked and applied anew
+                    t.apply(rows)
             if on_applied:
                 on_applied(batch_id)
         finally:

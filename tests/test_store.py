@@ -1,14 +1,15 @@
 """Layers, lookups, ordering, artifacts, loads and streams on small cases."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from layerkeep.errors import FailedPrecondition, InvalidArgument, NotFound
-from layerkeep.functions import fields, hashing, wire
+from layerkeep.functions import fields, hashing, positions, wire
 from layerkeep.operators import maintain, overlay, updates
-from layerkeep.plans.index import LayeredIndex, LoadCode, Mode
+from layerkeep.plans.index import Changed, LayeredIndex, LoadCode, Mode
 from layerkeep.schema import Field, Schema
 from layerkeep.sources import artifact, builder, fixtures, parquet_rows, schema_file, update_log
 from layerkeep.sources.artifact import Artifact, Progress, write_artifact
@@ -293,6 +294,109 @@ def test_batches_apply_whole_or_not_at_all(spark, tmp_path):
     assert seen(index.visible()) == {104: (5, None)}
 
 
+def together(*calls):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(len(calls)) as pool:
+        for f in [pool.submit(c) for c in calls]:
+            f.result()
+
+
+def test_concurrent_batches_are_all_kept(spark, tmp_path):
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, mode=Mode.FULL_WITH_REALTIME_AND_COMPACTION)
+    index.open_realtime(S, 100)
+    batch = lambda k: messages(spark, [(0, 10 * k + i, 10 * k + i, {"score": k}) for i in range(3)])
+    together(*[lambda k=k: index.apply(batch(k)) for k in range(1, 5)])
+    want = {10 * k + i: (k, None) for k in range(1, 5) for i in range(3)}
+    assert seen(index.visible()) == want and index.stats().unique_keys == 12 and index.stats().published_rows == 12
+    together(index.compact, *[lambda k=k: index.apply(batch(k)) for k in range(5, 8)])
+    want |= {10 * k + i: (k, None) for k in range(5, 8) for i in range(3)}
+    assert seen(index.visible()) == want
+    left = index.log(index.directory()[0].realtime).select("pk").distinct().count()
+    assert index.stats().unique_keys == left
+    with pytest.raises(FailedPrecondition):
+        index.rebase()  # no full layer
+    base = index.directory()
+    index.apply(batch(9))
+    with pytest.raises(Changed):
+        index.publish(*base, base=base)
+
+
+def test_compaction_leaves_later_batches_and_their_statistics(spark, tmp_path, monkeypatch):
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, mode=Mode.FULL_WITH_REALTIME_AND_COMPACTION)
+    index.open_realtime(S, 100)
+    index.apply(messages(spark, [(0, 1, 1, {"score": 1})]))
+    real = index._written
+
+    def slow(*args):
+        out = real(*args)
+        index.apply(messages(spark, [(0, 5, 2, {"score": 2}), (0, 6, 3, {"score": 3})]))  # arrives meanwhile
+        return out
+
+    monkeypatch.setattr(index, "_written", slow)
+    index.compact()
+    assert seen(index.visible()) == {1: (1, None), 2: (2, None), 3: (3, None)}
+    assert (index.stats().unique_keys, index.stats().published_rows) == (2, 2)
+
+
+def test_reopened_index_serves_what_was_published(spark, tmp_path, snapshot):
+    log = f"{tmp_path}/log"
+    messages(spark, [(0, 0, 3, {"score": 1})]).select("topic", "partition", "offset", F.col("pk").cast("string").alias("key"), "payload").write.parquet(log)
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, consumer=lambda: LogConsumer(spark, log, ConsumerConfig("local", "g", ("t",))))
+    assert index.wait(index.load_async(snapshot)).code is LoadCode.SUCCEEDED
+    index.compact()
+    index.apply(messages(spark, [(0, 7, 4, {"score": 9})]))
+    again = LayeredIndex.reopen(spark, f"{tmp_path}/w")
+    assert again.directory() == index.directory() and seen(again.visible()) == seen(index.visible())
+    again.apply(messages(spark, [(0, 8, 5, {"score": 8})]))
+    assert again.get(5).score == 8 and again.get(4).score == 9 and again.stats().unique_keys == 2
+    with pytest.raises(NotFound):
+        LayeredIndex.reopen(spark, f"{tmp_path}/nowhere")
+
+
+def test_rebase_refuses_other_hash_settings(spark, tmp_path, snapshot):
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, mode=Mode.FULL_ONLY)
+    index.wait(index.load_async(snapshot))
+    now = index.directory()
+    index.publish(*[replace(s, compact=replace(s.full, settings=maintain.HashSettings(2, 8, 1))) for s in now])
+    with pytest.raises(FailedPrecondition, match="hash settings"):
+        index.rebase()
+
+
+def test_strict_reading_of_odd_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    s = Schema.of(1, Field(1, "score", "int32", nullable=False, default=4))
+    one = pa.table({"id": pa.array([1], pa.int64()), "score": pa.array([10], pa.int32())})
+    for folder in ("hidden/_x", "hidden/a"):
+        (tmp_path / folder).mkdir(parents=True)
+    pq.write_table(one, tmp_path / "hidden/a/f.parquet")
+    pq.write_table(one.set_column(0, "id", pa.array([2], pa.int64())), tmp_path / "hidden/_x/f.parquet")
+    assert seen(parquet_rows.read_rows(spark, f"{tmp_path}/hidden", s, "id")) == {1: (10,), 2: (10,)}
+    for kind in (pa.uint8(), pa.uint16(), pa.uint32(), pa.int16()):
+        (tmp_path / str(kind)).mkdir()
+        pq.write_table(one.set_column(1, "score", pa.array([10], kind)), tmp_path / str(kind) / "f.parquet")
+        with pytest.raises(InvalidArgument):
+            parquet_rows.read_rows(spark, f"{tmp_path}/{kind}", s, "id")
+    (tmp_path / "absent").mkdir()
+    pq.write_table(one, tmp_path / "absent/f.parquet")
+    pq.write_table(pa.table({"id": pa.array([5], pa.int64())}), tmp_path / "absent/g.parquet")
+    assert seen(parquet_rows.read_rows(spark, f"{tmp_path}/absent", s, "id")) == {1: (10,), 5: (None,)}  # the default applies
+    pq.write_table(pa.table({"id": pa.array([6], pa.int64()), "score": pa.array([None], pa.int32())}), tmp_path / "absent/h.parquet")
+    with pytest.raises(InvalidArgument):
+        parquet_rows.read_rows(spark, f"{tmp_path}/absent", s, "id")
+    with pytest.raises(InvalidArgument):
+        parquet_rows.read_rows(spark, f"{tmp_path}/absent", Schema.of(1, Field(1, "score", "int32", nullable=False)), "id")
+
+
+def test_keys_are_digits_only(spark):
+    texts = ["42", "42\n", "\n42", "042", "0", "000", "", " 1", "18446744073709551615", "00018446744073709551615", "18446744073709551616", "1" * 60, "0" * 60 + "7", "٣", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", positions.parse_key(F.col("t")).alias("k")).collect()
+    want = {t: int(t) if t and t.isascii() and t.isdigit() and int(t) < 2**64 else None for t in texts}
+    assert {r.t: None if r.k is None else int(r.k) for r in got} == want
+
+
 def test_consumer(spark, tmp_path):
     path, config = f"{tmp_path}/log", ConsumerConfig("local", "g", ("t",))
     rows = [("t", p, o, str(100 + o), bytearray(wire.encode_row(S, {"score": o}))) for p, o in ((0, 10), (1, 7), (0, 12))]
