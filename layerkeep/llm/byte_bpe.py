@@ -36,10 +36,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cached, id_text, leaving_tidy, rows_of, small_batches, table
 
-#: Pieces that a worker keeps; about 200 bytes each.
-MOST_KEPT = 250_000
+#: Pieces that a worker keeps, about 200 bytes each; characters of a run of rows.
+MOST_KEPT, RUN_CHARS = 400_000, 1_000_000
 #: Rows of one recursive query at most, were every step to contract one pair; ids of one decoding query. They bound DuckDB's tables.
-QUERY_ROWS, DECODED_IDS = 2_000_000, 400_000
+QUERY_ROWS, DECODED_IDS = 1_000_000, 200_000
 #: A query takes a step for each contraction and keeps every step's rows, so longer pieces (bytes) go to ``contract_long``.
 LONG_PIECE = 512
 
@@ -205,7 +205,7 @@ def _run(docs: DataFrame, path: str, pattern: str, ddl: str, schema: pa.Schema,
         own = codec(ranks.value, pattern)
         for batch in batches:
             start = 0
-            for _, texts in rows_of(batch, 800_000):
+            for _, texts in rows_of(batch, RUN_CHARS):
                 rest = batch.slice(start, len(texts)).columns[2:]
                 first = batch.column(0).slice(start, len(texts))
                 start += len(texts)
