@@ -24,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and
+    Spark runs on one machine, as in tests, a temporary folder is made and set.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='layerkeep-')}")
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -42,9 +44,37 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/layerkeep/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders, and the tables over them, that this process has written.
+_scratch: list[tuple[str, str | None]] = []
+
+
+def scratch_mark() -> int:
+    """How much scratch there is; what is made from now on can be deleted by ``delete_scratch``."""
+    return len(_scratch)
+
+
+def noted(path: str, name: str) -> None:
+    """Counts a table as scratch."""
+    _scratch.append((path, name))
+
+
+def delete_scratch(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the scratch made after a mark, but for the files that ``but`` reads. Results that still read it are lost."""
+    kept = set() if but is None else {f.rsplit("/", 1)[0].rsplit(":", 1)[-1].lstrip("/") for f in but.inputFiles()}
+    for path, name in _scratch[since:]:
+        if path.rsplit(":", 1)[-1].lstrip("/") in kept:
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _scratch[since:] = [x for x in _scratch[since:] if x[0].rsplit(":", 1)[-1].lstrip("/") in kept]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

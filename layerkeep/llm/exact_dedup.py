@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, join_small_groups, partitions, shared_dir, table, written
+from .common import WHITE, join_small_groups, noted, partitions, shared_dir, table, written
 
 def normalised(text):
     out = F.coalesce(text.cast("string"), F.lit(""))
@@ -56,6 +56,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_b
     """
     spark = docs.sparkSession
     index = ExactDedupIndex(spark, f"layerkeep_digests_{uuid.uuid4().hex[:12]}", n_buckets=n_buckets or partitions(spark))
+    noted(index.path, index.name)
     rows = written(digests(docs, id_col, text_col), "digests")
     index.append(index.fresh(rows))
     both = join_small_groups(rows, index.table(), ["digest"], "group_size", rows.count())

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerkeep.llm import byte_bpe, components, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, substring_dedup, token_counts, toxicity, wordhash
-from test_queries import WORD, license_brute, near_brute, shingles, substring_brute
+from test_queries import WORD, license_brute, near_brute, plain_score, shingles, substring_brute
 
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -73,6 +73,58 @@ def test_a_row_for_every_row(spark, messy, nothing, name):
     assert OPERATORS[name](spark, nothing).count() == 0
 
 
+def test_values_of_messy_rows(spark, messy):
+    """Ids, groups and counts of messy rows against plain versions; a null id counts after all others in substring dedup, before all in exact dedup."""
+    rows = [(r.doc_id, r.text) for r in messy.select("doc_id", "text").collect()]
+    got = substring_dedup.remove_repeats(messy).collect()
+    last = 10**9
+    want = substring_brute(sorted(((last if d is None else d, t) for d, t in rows if (d, t) != (None, None)), key=lambda x: x[0]))
+    assert {(last if r.doc_id is None else r.doc_id): (r.n_words, r.n_removed, r.kept_sha256) for r in got if (r.doc_id, r.n_words) != (None, 0)} == want
+
+    key = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    best, sizes = {}, {}
+    for d, t in rows:
+        own = (-len(t or ""), d is not None, d or 0)
+        best[key(t)] = min(best.get(key(t), own), own)
+        sizes[key(t)] = sizes.get(key(t), 0) + 1
+    by_hash = {hashlib.sha256(k.encode()).hexdigest(): (b[2] if b[1] else None, sizes[k]) for k, b in best.items()}
+    got = exact_dedup.resolve(messy).collect()
+    assert sorted((str(r.doc_id), r.text_sha256) for r in got) == sorted((str(d), hashlib.sha256(key(t).encode()).hexdigest()) for d, t in rows)
+    assert all((r.keep_id, r.group_size) == by_hash[r.text_sha256] and r.kept == (r.doc_id == r.keep_id) for r in got)
+
+    near = near_brute([(d, t) for d, t in rows if d is not None])
+    got = near_dedup.near_duplicates(messy).collect()
+    assert all((r.n_shingles, r.component_id, r.kept) == (*near[r.doc_id], near[r.doc_id][1] == r.doc_id) for r in got if r.doc_id is not None)
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (1, None)]
+
+    text_of = dict(rows)
+    for r in license_scan.scan(messy).collect():
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == license_brute(text_of[r.doc_id])
+    for r in toxicity.score(messy, MODEL).collect():
+        if r.doc_id is not None:
+            assert (r.score, r.n_hits) == (pytest.approx(plain_score(MODEL, text_of[r.doc_id])[0]), plain_score(MODEL, text_of[r.doc_id])[1])
+    for r in language_id.identify(messy, SAMPLE).collect():
+        if r.doc_id is not None:
+            assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text_of[r.doc_id] or ""))
+
+
+def test_scratch_is_deleted_but_for_a_result(spark):
+    from pathlib import Path
+
+    from layerkeep.llm import common
+
+    mark = common.scratch_mark()
+    kept, gone = (common.written(spark.range(3), "kept"), common.written(spark.range(4), "gone"))
+    exact_dedup.resolve(frame(spark, ["a", "b"])).count()
+    made, names = [Path(p.removeprefix("file://")) for p, _ in common._scratch[mark:]], {n for _, n in common._scratch[mark:] if n}
+    assert all(p.exists() for p in made)
+    common.delete_scratch(spark, mark, kept)
+    assert [p.exists() for p in made] == [True] + [False] * (len(made) - 1) and kept.count() == 3
+    assert len(names) == 1 and not [t for t in spark.catalog.listTables() if t.name in names] and len(common._scratch) == mark + 1
+    del gone
+
+
 def test_contamination_of_messy_rows(spark, messy, nothing):
     items = bench(spark, [(1, "the cat sat on the mat and then it slept all day"), (2, None), (3, ""), (4, "x"), (5, "a row without an id")])
     got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(messy, items).collect()]
