@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerkeep.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup
-from layerkeep.llm.common import MOST_BROADCAST, one_row_each, table, without, written
+from layerkeep.llm.common import MOST_BROADCAST, delete_scratch, one_row_each, scratch_mark, table, without, written
 
 
 #: Names a row in the stages' decisions.
@@ -84,9 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages wrote meanwhile is deleted when the next one stands."""
     docs = table(spark, sf_dir, "documents")
+    mark = scratch_mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete_scratch(spark, mark, docs)
     return docs
 
 
