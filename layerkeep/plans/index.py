@@ -417,10 +417,10 @@ class LayeredIndex:
         done = self.spark.read.schema(log_type(schema)).parquet(folder)
         return {(r.topic, r.partition): r.next_offset for r in updates.checkpoint(done).collect()}  # one row for each partition
 
-    def poll_apply_commit(self, consumer: Consumer, max_messages: int = 10_000) -> int:
+    def poll_apply_commit(self, consumer: Consumer, max_messages: int = 10_000, timeout_ms: int = 0) -> int:
         """One round: poll, apply, commit. An empty poll commits nothing; a batch that fails is not committed."""
-        check_poll(max_messages)
-        batch = consumer.poll(max_messages)
+        check_poll(max_messages, timeout_ms)
+        batch = consumer.poll(max_messages, timeout_ms)
         if batch is None:
             return 0
         consumer.commit(done := self.apply(batch))

@@ -9,6 +9,7 @@ same configuration; the connector is a separate jar.
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -43,9 +44,19 @@ def kafka_options(config: ConsumerConfig, starting: dict[str, dict[int, int]] |
     return {"kafka.bootstrap.servers": config.bootstrap_servers, "kafka.group.id": config.group_id, "subscribe": ",".join(config.topics), "startingOffsets": first, "failOnDataLoss": "true"}
 
 
+def from_kafka(rows: DataFrame) -> DataFrame:
+    """Rows of Kafka's reader under the names of ``MESSAGE``."""
+    return rows.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").alias("payload"))
+
+
+def kafka_messages(spark: SparkSession, config: ConsumerConfig, starting: dict[str, dict[int, int]] | None = None) -> DataFrame:
+    """The topics as a stream for ``upserts.ingest``, from the earliest or the given offsets; needs the Kafka connector's jar."""
+    return from_kafka(spark.readStream.format("kafka").options(**kafka_options(config, starting)).load())
+
+
 class Consumer(Protocol):
     def seek(self, positions: dict[tuple[str, int], int]) -> None: ...
-    def poll(self, max_messages: int) -> DataFrame | None: ...
+    def poll(self, max_messages: int, timeout_ms: int = 0) -> DataFrame | None: ...
     def commit(self, positions: dict[tuple[str, int], int]) -> None: ...
     def progress(self) -> list[Progress]: ...
 
@@ -88,13 +99,20 @@ class LogConsumer:
             seen.add((topic, partition))
         self.next = dict(positions)
 
-    def poll(self, max_messages: int) -> DataFrame | None:
-        """The next messages of all partitions, at most so many of each; None if there are none.
+    def poll(self, max_messages: int, timeout_ms: int = 0) -> DataFrame | None:
+        """The next messages of all partitions, at most so many of each; None if there are none within the timeout."""
+        check_poll(max_messages, timeout_ms)
+        until = time.monotonic() + timeout_ms / 1000
+        while (batch := self._ready(max_messages)) is None and (left := until - time.monotonic()) > 0:
+            time.sleep(min(0.05, left))
+        return batch
+
+    def _ready(self, max_messages: int) -> DataFrame | None:
+        """The messages that are there.
 
         seq is the order within a partition, which is all that updates of one key
         need. The positions move on; what was polled is consumed again unless committed.
         """
-        check_poll(max_messages)
         start = F.lit(0).cast("long")
         for (t, p), o in self.next.items():
             start = F.when((F.col("topic") == t) & (F.col("partition") == p), F.lit(o).cast("long")).otherwise(start)

@@ -1,6 +1,8 @@
 """Layers, lookups, ordering, artifacts, loads and streams on small cases."""
 
 import random
+import threading
+import time
 from dataclasses import replace
 
 import pytest
@@ -405,9 +407,19 @@ def test_consumer(spark, tmp_path):
     index.open_realtime(S, 100)
     c = LogConsumer(spark, path, config)
     assert index.poll_apply_commit(c) == 2 and c.committed() == {("t", 0): 13, ("t", 1): 8}
+    began = time.monotonic()
     assert index.poll_apply_commit(c) == 0
-    assert c.progress() == [Progress("t", 0, 13, 13), Progress("t", 1, 8, 8)]
-    for bad in (lambda: c.poll(0), lambda: c.seek({("u", 0): 1}), lambda: c.seek({("t", 0): -1}), lambda: ConsumerConfig("", "g", ("t",)), lambda: ConsumerConfig("s", "g", ("t", "t"))):
+    assert c.poll(5, 400) is None and time.monotonic() - began >= 0.4  # waits, then gives up
+    late = threading.Timer(0.3, lambda: spark.createDataFrame([("t", 1, 9, "5", bytearray(wire.encode_row(S, {"score": 1})))], update_log.MESSAGE).write.mode("append").parquet(path))
+    late.start()
+    assert c.poll(5, 20_000).count() == 1  # came meanwhile
+    late.join()
+    c.seek({("t", 0): 13, ("t", 1): 10})
+    c.commit({("t", 1): 10})
+    kafka = spark.createDataFrame([(bytearray(b"7"), bytearray(b"x"), "t", 0, 3, 1)], "key binary, value binary, topic string, partition int, offset long, timestampType int")
+    assert update_log.from_kafka(kafka).schema.simpleString() == spark.createDataFrame([], update_log.MESSAGE).schema.simpleString() and update_log.from_kafka(kafka).first().key == "7"
+    assert c.progress() == [Progress("t", 0, 13, 13), Progress("t", 1, 10, 10)]
+    for bad in (lambda: c.poll(0), lambda: c.poll(1, -1), lambda: c.seek({("u", 0): 1}), lambda: c.seek({("t", 0): -1}), lambda: ConsumerConfig("", "g", ("t",)), lambda: ConsumerConfig("s", "g", ("t", "t"))):
         with pytest.raises(InvalidArgument):
             bad()
     with pytest.raises(FailedPrecondition):
