@@ -3,10 +3,12 @@
 A word is removed if a window that covers it has the same words as a window
 that starts in a document with a smaller id. Windows are judged on the input.
 
-1. Documents are dealt into groups of bounded size by their id. A group's task
-   hashes all its windows and keeps of equal ones the smallest id: this
+1. Documents are dealt into groups of bounded size by id and text, so rows that
+   repeat one id spread. A group's task hashes all its windows and keeps of equal ones the smallest id: this
    pre-aggregation sends a window that a third of all documents hold once for
    each group only. The sorted hashes, cut into ranges, travel as packed blocks.
+   Groups and ranges grow with the input, tasks do not beyond ``MOST_TASKS``: a
+   task then goes through several groups or ranges, one after another.
 2. A range's task meets the blocks of all groups, finds each hash's smallest
    id, and answers each block with one bit for each of its hashes: whether a
    smaller id exists elsewhere.
@@ -40,6 +42,8 @@ from .common import forget, id_text, leaving_tidy, table
 WINDOW = 50
 #: Bytes of text in a group, and windows in a range, on average.
 GROUP_BYTES, RANGE_BYTES = 5_000_000, 8_000_000
+#: Tasks of a shuffle at most.
+MOST_TASKS = 20_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -66,10 +70,12 @@ class Group:
         self.place[order] = np.cumsum(fresh) - 1
         self.own = own
 
-    def cuts(self, ranges: int) -> np.ndarray:
-        """Where each range of hashes begins among the distinct hashes, and the end."""
-        bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.hashes, bounds, "left"), [len(self.hashes)]])
+    def ranges(self, ranges: int) -> dict[int, slice]:
+        """The ranges that the distinct hashes fall into, of ``ranges`` equal ones, and which hashes each has."""
+        own = ((self.hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(own, prepend=np.uint64(ranges)))
+        ends = np.append(starts[1:], len(own))
+        return {int(own[s]): slice(int(s), int(e)) for s, e in zip(starts, ends, strict=False)}
 
     def removed(self, elsewhere: np.ndarray) -> np.ndarray:
         """Whether each word is removed, given for each distinct hash whether a smaller id has it elsewhere."""
@@ -128,34 +134,42 @@ def blocks(rows: pa.Table, window: int, ranges: int) -> pa.Table:
     """A group's distinct hashes with their checks and least ids, a row for each range."""
     forget()
     own = Group(rows, window)
-    cuts = own.cuts(ranges)
     group = rows.column("grp")[0].as_py()
     out = []
-    for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        part = slice(cuts[k], cuts[k + 1])
+    for k, part in own.ranges(ranges).items():
         steps = np.diff(own.hashes[part], prepend=np.uint64(0))
-        out.append((group, int(k), pack(steps), own.checks[part].tobytes(), pack_ids(own.least[part])))
+        out.append((group, k, pack(steps), own.checks[part].tobytes(), pack_ids(own.least[part])))
     return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * 5, BLOCKS, strict=True)], schema=BLOCKS)
 
 
 def answers(batches):
-    """For each block of a range, one bit for each hash: whether another block has it with a smaller id."""
-    held = [r for b in batches for r in b.to_pylist()]
-    for rng in sorted({r["rng"] for r in held}):
-        own = [r for r in held if r["rng"] == rng]
-        hashes = [np.cumsum(unpack(r["hashes"]), dtype=np.uint64) for r in own]
-        ends = np.cumsum([len(h) for h in hashes])
-        h = np.concatenate(hashes)
-        hashes = []
-        order, heads = in_order(h, np.concatenate([np.frombuffer(r["checks"], np.uint16) for r in own]))
-        h = np.concatenate([unpack_ids(r["ids"]) for r in own])
-        sizes = np.diff(np.append(heads, len(order)))
-        least = np.repeat(np.minimum.reduceat(h[order], heads), sizes)
-        later = np.empty(len(h), bool)
-        later[order] = h[order] > least
-        bits = [np.packbits(x).tobytes() for x in np.split(later, ends[:-1])]
-        cols = {"grp": pa.array([r["grp"] for r in own], pa.int32()), "rng": pa.array([rng] * len(own), pa.int32()), "bits": pa.array(bits, pa.binary())}
-        yield pa.RecordBatch.from_pydict(cols)
+    """For each block of a range, one bit for each hash: whether another block has it with a smaller id. Blocks of a range come together."""
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and held[0]["rng"] != r["rng"]:
+                yield answered(held)
+                held = []
+            held.append(r)
+    if held:
+        yield answered(held)
+
+
+def answered(own: list[dict]) -> pa.RecordBatch:
+    """The answers to all blocks of one range."""
+    hashes = [np.cumsum(unpack(r["hashes"]), dtype=np.uint64) for r in own]
+    ends = np.cumsum([len(h) for h in hashes])
+    h = np.concatenate(hashes)
+    hashes = []
+    order, heads = in_order(h, np.concatenate([np.frombuffer(r["checks"], np.uint16) for r in own]))
+    h = np.concatenate([unpack_ids(r["ids"]) for r in own])
+    sizes = np.diff(np.append(heads, len(order)))
+    least = np.repeat(np.minimum.reduceat(h[order], heads), sizes)
+    later = np.empty(len(h), bool)
+    later[order] = h[order] > least
+    bits = [np.packbits(x).tobytes() for x in np.split(later, ends[:-1])]
+    cols = {"grp": pa.array([r["grp"] for r in own], pa.int32()), "rng": pa.array([r["rng"] for r in own], pa.int32()), "bits": pa.array(bits, pa.binary())}
+    return pa.RecordBatch.from_pydict(cols)
 
 
 def intervals(gone: np.ndarray) -> list[dict]:
@@ -163,13 +177,13 @@ def intervals(gone: np.ndarray) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in zip(edge[0::2], edge[1::2], strict=True)]
 
 
-def finish(rows: pa.Table, answered: pa.Table, window: int, ranges: int, with_text: bool) -> pa.Table:
+def finish(rows: pa.Table, heard: pa.Table, window: int, ranges: int, with_text: bool) -> pa.Table:
     own = Group(rows, window)
-    cuts = own.cuts(ranges)
+    parts = own.ranges(ranges)
     elsewhere = np.zeros(len(own.hashes), bool)
-    for r in answered.to_pylist():
-        s, e = cuts[r["rng"]], cuts[r["rng"] + 1]
-        elsewhere[s:e] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(e - s)).astype(bool)
+    for r in heard.to_pylist():
+        part = parts[r["rng"]]
+        elsewhere[part] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=part.stop - part.start).astype(bool)
     gone = own.removed(elsewhere)
     bounds = np.append(0, np.cumsum(own.counts))
     out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "removed", "kept_text")}
@@ -197,11 +211,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     ranges = max(1, -(-total // RANGE_BYTES))
-    key = F.coalesce(F.xxhash64("doc_id", F.lit(3)), F.lit(0)) if "doc_id" in rows.columns else F.lit(0)
-    dealt = rows.withColumn("grp", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition(max(groups, 1), "grp")
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    dealt = dealt.repartition(min(groups, MOST_TASKS), "grp")
     sent = dealt.groupBy("grp").applyInArrow(lambda t: blocks(t, window, ranges), "grp int, rng int, hashes binary, checks binary, ids binary")
-    heard = sent.repartitionById(ranges, F.col("rng")).mapInArrow(leaving_tidy(answers), "grp int, rng int, bits binary")
+    met = sent.repartitionById(min(ranges, MOST_TASKS), F.col("rng") % F.lit(min(ranges, MOST_TASKS)))
+    if ranges > MOST_TASKS:
+        met = met.sortWithinPartitions("rng")
+    heard = met.mapInArrow(leaving_tidy(answers), "grp int, rng int, bits binary")
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string"
     done = dealt.groupBy("grp").cogroup(heard.groupBy("grp")).applyInArrow(lambda t, a: finish(t, a, window, ranges, with_text), ddl)
     return done if with_text else done.drop("kept_text")

@@ -184,12 +184,14 @@ def frame(spark, texts):
 # -- 1 -------------------------------------------------------------------------------------------------------------
 
 
-def test_substring_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_substring_against_brute_force(spark, monkeypatch, most):
     rng = random.Random(3)
     passages = [[f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 30))] for _ in range(12)]
     texts = [" ".join(sum((rng.choice(passages) for _ in range(rng.randrange(6))), [])) for _ in range(80)]
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 1500)
     monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "MOST_TASKS", most)
     got = substring_dedup.remove_repeats(frame(spark, texts), window=6, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == substring_brute(list(enumerate(texts)), 6)
     for r in got:
@@ -199,6 +201,15 @@ def test_substring_against_brute_force(spark, monkeypatch):
         assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:], strict=False))
 
 
+def test_an_id_with_many_texts_spreads(spark, monkeypatch):
+    """Rows of one id lie in several groups, and still do not remove each other's words."""
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 500)
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, f"{shared} own{k}") for k in range(40)] + [(6, shared)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(5, 61, 0)] * 40 + [(6, 60, 60)]
+
+
 def test_packed_numbers():
     for x in (np.array([], np.uint64), np.array([0, 2**64 - 1, 5], np.uint64)):
         assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all()
