@@ -13,7 +13,9 @@ from __future__ import annotations
 import struct
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ KINDS = {0: "null", 1: "int8", 2: "int32", 3: "int64", 4: "uint64", 5: "bool", 6
 CODES = {name: code for code, name in KINDS.items()}
 LIST = 16
 NUMBERS = {"int8": "<b", "int32": "<i", "int64": "<q", "uint64": "<Q"}
+WIDTHS = {"bool": 1} | {kind: struct.calcsize(x) for kind, x in NUMBERS.items()}
 
 
 class Reader:
@@ -167,6 +170,124 @@ def _arrow_value(f: Field, value: Any) -> Any:
     return [Decimal(x) for x in value] if f.is_list else Decimal(value)
 
 
+def _bytes_at(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    return data[starts[:, None] + np.arange(width)]
+
+
+def _u32_at(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return _bytes_at(data, starts, 4).view("<u4").ravel().astype(np.int64)
+
+
+def _spans(schema: Schema, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which frames are plain, and for each field and frame where its value begins, -1 if absent, and its size).
+
+    A plain frame has known fields of the schema's types only, each once, and
+    all required ones. The frames are walked in lockstep, a field at a time.
+    """
+    fields = sorted((f for f in schema.fields if not f.is_list or f.type in NUMBERS), key=lambda f: f.field_id)
+    place = {f.name: k for k, f in enumerate(schema.fields)}
+    row_of = np.array([place[f.name] for f in fields] + [len(place)])
+    ids = np.array([f.field_id for f in fields] + [-1], np.int64)
+    codes = np.array([CODES[f.type] + LIST * f.is_list for f in fields] + [-1])
+    widths = np.array([0 if f.is_list else WIDTHS.get(f.type, 0) for f in fields] + [0])
+    starts = np.full((len(place) + 1, len(begin)), -1, np.int64)  # a last row for unknown fields
+    sizes = np.zeros_like(starts)
+    plain = np.zeros(len(begin), bool)
+    at = np.flatnonzero(end - begin >= 12)
+    head = np.frombuffer(MAGIC + struct.pack("<HH", VERSION, FLAGS), np.uint8)
+    at = at[(_bytes_at(data, begin[at], 8) == head).all(axis=1)]
+    left, here = _u32_at(data, begin[at] + 8), begin[at] + 12
+    while len(at):
+        plain[at[(left == 0) & (here == end[at])]] = True
+        on = (left > 0) & (here + 9 <= end[at])
+        at, left, here = at[on], left[on], here[on]
+        field_id, code, size, here = _u32_at(data, here), data[here + 4], _u32_at(data, here + 5), here + 9
+        k = np.searchsorted(ids[:-1], field_id)
+        on = (ids[k] == field_id) & (codes[k] == code) & (here + size <= end[at]) & (starts[row_of[k], at] < 0) & ((widths[k] == 0) | (widths[k] == size))
+        at, left, here, k, size = at[on], left[on] - 1, here[on], row_of[k[on]], size[on]
+        starts[k, at], sizes[k, at] = here, size
+        here = here + size
+    for k, f in enumerate(schema.fields):
+        own = np.flatnonzero(plain & (starts[k] >= 0))
+        if f.is_list:
+            own = own[sizes[k, own] >= 4]
+            own = own[_u32_at(data, starts[k, own]) * WIDTHS[f.type] == sizes[k, own] - 4] if len(own) else own
+        elif f.type == "bool":
+            own = own[data[starts[k, own]] <= 1]
+        good = np.zeros(len(plain), bool)
+        good[own] = True
+        plain &= good | (starts[k] < 0) & (f.nullable or f.default is not None)
+    return plain, starts, sizes
+
+
+def _within(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans that lie one behind another."""
+    on = sizes > 0
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[on]] += 1
+    inside[starts[on] + sizes[on]] -= 1
+    return data[np.cumsum(inside, dtype=np.int8, out=inside)[:-1].astype(bool)]
+
+
+def _numbers(kind: str, raw: np.ndarray) -> pa.Array:
+    """Values of one kind from their bytes."""
+    if kind == "bool":
+        return pa.array(raw == 1)
+    if kind == "uint64":  # as decimals of 16 bytes
+        wide = np.zeros((len(raw) // 8, 16), np.uint8)
+        wide[:, :8] = raw.reshape(-1, 8)
+        return pa.Array.from_buffers(pa.decimal128(20, 0), len(wide), [None, pa.py_buffer(wide.tobytes())])
+    return pa.array(raw.view(NUMBERS[kind]))
+
+
+def _column(f: Field, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One field of plain frames."""
+    present = starts >= 0
+    if f.is_list:
+        counts = np.where(present, sizes - 4, 0)
+        offsets = pa.array(np.append(0, np.cumsum(counts // WIDTHS[f.type])), pa.int32())
+        return pa.ListArray.from_arrays(offsets, _numbers(f.type, _within(data, starts + 4, counts)), type=arrow_type(f), mask=pa.array(~present))
+    if f.type == "string":
+        counts = np.where(present, sizes, 0)
+        offsets = np.append(0, np.cumsum(counts)).astype(np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_within(data, starts, counts).tobytes())]).cast(pa.string())
+    else:
+        out = _numbers(f.type, _bytes_at(data, np.where(present, starts, 0), WIDTHS[f.type]).ravel())
+    return pc.if_else(pa.array(present), out, pa.scalar(None, arrow_type(f)))
+
+
+def decode_column(schema: Schema, payload: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(rows, errors) of a column of frames.
+
+    Plain frames are decoded column by column; others (bad ones, unknown fields,
+    lists of strings or bools) one at a time, with the same results.
+    """
+    row_type = pa.struct([pa.field(f.name, arrow_type(f)) for f in schema.fields])
+    n, frames = len(payload), payload.cast(pa.large_binary())
+    offsets = np.frombuffer(frames.buffers()[1], np.int64)[frames.offset : frames.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(frames.buffers()[2], np.uint8) if n and frames.buffers()[2] else np.zeros(0, np.uint8)
+    plain, starts, sizes = _spans(schema, data, offsets[:-1], offsets[1:])
+    plain &= payload.is_valid().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(plain)
+    try:
+        fast = pa.StructArray.from_arrays([_column(f, data, starts[k, at], sizes[k, at]) for k, f in enumerate(schema.fields)], fields=list(row_type)) if len(at) and schema.fields else pa.array([{}] * len(at), row_type)
+    except pa.ArrowInvalid:  # a string is no UTF-8
+        at, fast = at[:0], pa.array([], row_type)
+    others = np.setdiff1d(np.arange(n), at)
+    rows, errors = [], []
+    for raw in payload.take(pa.array(others)).to_pylist():
+        try:
+            got = to_row(schema, decode(raw or b""))
+            rows.append({f.name: _arrow_value(f, got[f.name]) for f in schema.fields})
+            errors.append(None)
+        except LayerError as e:
+            rows.append(None)
+            errors.append(f"{e.code.value}: {e}")
+    order = pa.array(np.argsort(np.concatenate([at, others])))
+    both = pa.concat_arrays([fast, pa.array(rows, row_type)]), pa.concat_arrays([pa.nulls(len(at), pa.string()), pa.array(errors, pa.string())])
+    return both[0].take(order), both[1].take(order)
+
+
 def decode_frames(updates: DataFrame, schema: Schema, payload: str = "payload") -> DataFrame:
     """``updates`` with ``row`` (null if bad) and ``error`` (``code: message``, null if good) in place of the payload.
 
@@ -174,21 +295,12 @@ def decode_frames(updates: DataFrame, schema: Schema, payload: str = "payload")
     """
     kept = [c for c in updates.columns if c != payload]
     out_type = T.StructType([*(updates.schema[c] for c in kept), T.StructField("row", schema.row_type()), T.StructField("error", T.StringType())])
-    row_type = pa.struct([pa.field(f.name, arrow_type(f)) for f in schema.fields])
 
     def run(batches):
         for batch in batches:
-            rows, errors = [], []
-            for raw in batch.column(batch.schema.get_field_index(payload)).to_pylist():
-                try:
-                    got = to_row(schema, decode(raw or b""))
-                    rows.append({f.name: _arrow_value(f, got[f.name]) for f in schema.fields})
-                    errors.append(None)
-                except LayerError as e:
-                    rows.append(None)
-                    errors.append(f"{e.code.value}: {e}")
+            rows, errors = decode_column(schema, batch.column(batch.schema.get_field_index(payload)))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, row_type), pa.array(errors, pa.string())], names=[*kept, "row", "error"])
+            yield pa.RecordBatch.from_arrays([*cols, rows, errors], names=[*kept, "row", "error"])
 
     return updates.mapInArrow(run, out_type)
 

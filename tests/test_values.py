@@ -1,8 +1,11 @@
 """Hashes, schemas, layouts, frames and positions: what needs no Spark."""
 
+import random
+
+import pyarrow as pa
 import pytest
 
-from layerkeep.errors import Code, FailedPrecondition, InvalidArgument, NotFound, Status
+from layerkeep.errors import Code, FailedPrecondition, InvalidArgument, LayerError, NotFound, Status
 from layerkeep.functions import hashing, positions, wire
 from layerkeep.schema import Field, Schema, align_up
 from layerkeep.sources import schema_file
@@ -119,6 +122,48 @@ def test_frame_to_row():
             wire.to_row(s, frame)
 
 
+def one_by_one(schema, frames):
+    """Rows and errors as the plain decoder gives them."""
+    for raw in frames:
+        try:
+            got = wire.to_row(schema, wire.decode(raw or b""))
+            yield {f.name: wire._arrow_value(f, got[f.name]) for f in schema.fields}, None
+        except LayerError as e:
+            yield None, f"{e.code.value}: {e}"
+
+
+COLUMNS = Schema.of(
+    1, Field(9, "a", "int32", nullable=False), Field(2, "b", "string"), Field(3, "c", "uint64", is_list=True), Field(4, "d", "string", is_list=True), Field(5, "e", "bool"), Field(6, "f", "int8"), Field(7, "g", "uint64"),
+    Field(8, "h", "int64", is_list=True), Field(1, "i", "int64", nullable=False, default=3),
+)
+
+
+@pytest.mark.parametrize("schema", [COLUMNS, Schema.of(1), Schema.of(1, Field(2, "b", "string")), Schema(1, COLUMNS.fields[:3] + COLUMNS.fields[4:])])
+def test_columns_of_frames_equal_single_frames(schema):
+    """Good, cut, altered, unknown, repeated and absent fields; slices of a column."""
+    rng = random.Random(8)
+    value = {"int32": lambda: rng.randrange(-(2**31), 2**31), "int64": lambda: rng.randrange(-(2**63), 2**63), "int8": lambda: rng.randrange(-128, 128), "uint64": lambda: rng.randrange(2**64), "bool": lambda: rng.random() < 0.5, "string": lambda: "aé漢😀"[: rng.randrange(5)] * rng.randrange(3)}
+    frames = [None, b"", b"KVIU"]
+    for _ in range(3_000):
+        fields = [f for f in COLUMNS.fields if rng.random() < (0.95 if f.field_id != 4 else 0.3)]
+        rng.shuffle(fields)
+        own = {f.field_id: (f.type, f.is_list, [value[f.type]() for _ in range(rng.randrange(4))] if f.is_list else value[f.type]()) for f in fields}
+        if rng.random() < 0.1:
+            own[77] = ("int8", False, 5)
+        raw = bytearray(wire.encode(own))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            raw[rng.randrange(len(raw))] = rng.choice([0, 1, 2, 255, rng.randrange(256)])
+        if rng.random() < 0.1:
+            raw = raw[: rng.randrange(len(raw))] if rng.random() < 0.5 else raw + b"\0"
+        frames.append(bytes(raw))
+    column = pa.array([b"before", *frames, b"after"], pa.binary())[1:-1]
+    rows, errors = wire.decode_column(schema, column)
+    want = list(one_by_one(schema, frames))
+    assert errors.to_pylist() == [e for _, e in want] and rows.to_pylist() == [r for r, _ in want]
+    assert schema is COLUMNS and sum(e is None for _, e in want) > 500 or schema is not COLUMNS
+    assert [len(x) for x in wire.decode_column(schema, pa.array([], pa.binary()))] == [0, 0]
+
+
 def test_status():
     assert Status().ok and Status(Code.OK, "what").code is Code.UNKNOWN
     assert Status.of(NotFound("x")) == Status(Code.NOT_FOUND, "x")
