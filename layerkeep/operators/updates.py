@@ -63,11 +63,12 @@ def catch_up_required(progress: DataFrame) -> DataFrame:
 
 
 def validate(batch: DataFrame) -> None:
-    """Raises for a batch that may not be applied; runs one aggregation."""
+    """Raises for a batch that may not be applied, also for the first of its messages' ``error``s where it has such a column; runs one aggregation."""
+    first_error = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))) if "error" in batch.columns else F.lit(None)
     seen = batch.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("topics"), F.min("partition").alias("p"), F.min("offset").alias("low"), F.max("offset").alias("high"),
         F.bool_or(F.col("pk").isNull()).alias("no_key"),
-        F.min("seq").alias("first"), F.max("seq").alias("last"),
+        F.min("seq").alias("first"), F.max("seq").alias("last"), first_error.alias("error"),
     ).first()
     if not seen.n:
         return
@@ -81,6 +82,9 @@ def validate(batch: DataFrame) -> None:
         raise InvalidArgument("a message's seq is out of range")
     if seen.no_key:
         raise InvalidArgument("a key is no unsigned 64-bit number")
+    if seen.error is not None:
+        code, _, message = seen.error.partition(": ")
+        raise (InvalidArgument if code == "invalid_argument" else FailedPrecondition)(message)
 
 
 @dataclass(frozen=True)

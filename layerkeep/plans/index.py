@@ -348,7 +348,8 @@ class LayeredIndex:
     def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...]) -> Prepared:
         """Decodes, checks and writes a batch for ``target``. Nothing is published.
 
-        Of earlier messages only keys and partitions are read, once.
+        Of earlier messages only keys and partitions are read, once, and where
+        they are: the batch's keys go to them, so the log is not shuffled.
         """
         rows = decode_frames(messages, schema) if "payload" in messages.columns else messages.withColumn("error", F.lit(None).cast("string"))
         dealt = with_shard(rows, self.shards, seed=self.seed, version=self.hash_version)
@@ -358,24 +359,40 @@ class LayeredIndex:
         updates.validate(checked)
         known = tuple(sorted({f for s in target if s.realtime for f in s.realtime.folders}))
         checked = checked.withColumn("seq", F.col("seq") + len(known) * BATCH_SEQ)  # later batches arrive later
-        if bad := checked.filter(F.col("error").isNotNull()).orderBy("seq").select("error").first():
-            code, _, message = bad.error.partition(": ")
-            raise (InvalidArgument if code == "invalid_argument" else FailedPrecondition)(message)
         kept = checked.drop("error")
-        both = kept.select("shard_id", "pk", "partition")
-        if known:
-            both = both.unionByName(self.spark.read.schema(log_type(schema)).parquet(*known).select("shard_id", "pk", "partition"))
-        keys = both.groupBy("shard_id", "pk").agg(F.min("partition").alias("low"), F.max("partition").alias("high"))
-        seen = keys.groupBy("shard_id").agg(F.count(F.lit(1)).alias("keys"), F.bool_or(F.col("low") != F.col("high")).alias("conflict")).collect()  # one row for each shard
+        held = {s.shard_id: s.realtime.stats.unique_keys for s in target if s.realtime}
         capacity = {s.shard_id: s.realtime.capacity for s in target if s.realtime}
-        for r in seen:
+        for r in self._met(kept, target).collect():  # one row for each shard
             if r.conflict:
                 raise FailedPrecondition("updates of one key come from different partitions")
-            if r["keys"] > capacity[r.shard_id]:
-                raise FailedPrecondition(f"shard {r.shard_id} holds {r['keys']} keys, its capacity is {capacity[r.shard_id]}")
+            held[r.shard_id] += r.new
+            if held[r.shard_id] > capacity[r.shard_id]:
+                raise FailedPrecondition(f"shard {r.shard_id} holds {held[r.shard_id]} keys, its capacity is {capacity[r.shard_id]}")
         kept.repartitionByRange("shard_id", "pk", "offset").sortWithinPartitions("shard_id", "pk").write.parquet(folder)  # a hot key spreads over tasks
         Files(self.spark).delete(f"{folder}-checked")
-        return Prepared(folder, {r.shard_id: r["keys"] for r in seen})
+        return Prepared(folder, held)
+
+    def _met(self, batch: DataFrame, target: tuple[Shard, ...]) -> DataFrame:
+        """shard_id, new, conflict: how many keys of a batch (a written table) the realtime layers lack, and whether any comes from several partitions."""
+        spread = [F.min("partition").alias("low"), F.max("partition").alias("high")]
+        own = batch.groupBy("shard_id", "pk").agg(*spread)
+        logs: dict[tuple[str, ...], tuple[Realtime, list[int]]] = {}
+        for s in target:
+            if s.realtime and s.realtime.folders:
+                logs.setdefault(s.realtime.folders, (s.realtime, []))[1].append(s.shard_id)
+        new, low, high = F.lit(1), F.col("low"), F.col("high")
+        if logs:
+            keys = own.select("shard_id", "pk")
+            if batch.count() <= overlay.MOST_BROADCAST:  # a count of files' footers
+                keys = F.broadcast(keys)
+            past = None
+            for layer, ids in logs.values():
+                log = self.log(layer, None if len(ids) == self.shards else ids).select("shard_id", "pk", "partition")
+                past = log if past is None else past.unionByName(log)
+            past = past.join(keys, ["shard_id", "pk"], "left_semi").groupBy("shard_id", "pk").agg(F.min("partition").alias("first"), F.max("partition").alias("last"))
+            own = own.join(past, ["shard_id", "pk"], "left")
+            new, low, high = F.col("first").isNull().cast("int"), F.least("low", "first"), F.greatest("high", "last")
+        return own.groupBy("shard_id").agg(F.sum(new).alias("new"), F.bool_or(low != high).alias("conflict"))
 
     def with_folder(self, target: tuple[Shard, ...], batch: Prepared, schema: Schema) -> tuple[Shard, ...]:
         """The shards with the batch's folder more in their realtime layer; only the batch is read for their statistics."""
@@ -385,7 +402,7 @@ class LayeredIndex:
             n, size = added.get(s.shard_id, (0, 0, 0))[1:]
             old = s.realtime.stats
             slots = old.slot_bytes + n * schema.layout().slot_bytes
-            stats = updates.DeltaStats(s.realtime.capacity, batch.keys.get(s.shard_id, 0), old.published_rows + n, slots, old.payload_bytes + size)
+            stats = updates.DeltaStats(s.realtime.capacity, batch.keys[s.shard_id], old.published_rows + n, slots, old.payload_bytes + size)
             out.append(replace(s, realtime=replace(s.realtime, folders=(*s.realtime.folders, batch.folder), stats=stats)))
         return tuple(out)
 

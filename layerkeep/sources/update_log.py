@@ -117,7 +117,7 @@ class LogConsumer:
         for (t, p), o in self.next.items():
             start = F.when((F.col("topic") == t) & (F.col("partition") == p), F.lit(o).cast("long")).otherwise(start)
         rank = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
-        rows = self.messages().filter(F.col("offset") >= start).withColumn("seq", rank.cast("long")).filter(F.col("seq") <= max_messages)
+        rows = self.messages().filter(F.col("offset") >= start).withColumn("seq", rank).filter(F.col("seq") <= max_messages).withColumn("seq", F.col("seq").cast("long"))
         ends = rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("o")).collect()  # one row for each partition
         if not ends:
             return None

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
 from ..functions.positions import IDEMPOTENT, NEWER, STALE
@@ -27,9 +26,17 @@ def messages(spark: SparkSession, path: str, files_per_batch: int | None = None)
     return reader.parquet(path)
 
 
-def ordered(batch: DataFrame) -> DataFrame:
-    """Parsed messages with their order of arrival within the batch."""
-    return parsed(batch).withColumn("seq", F.row_number().over(Window.partitionBy("partition").orderBy("offset")).cast("long"))
+def ordered(rows: DataFrame) -> DataFrame | None:
+    """Parsed messages with their order of arrival within the batch: how far they are behind their partition's first offset. None if there are none.
+
+    Nothing is sorted, so a partition's messages stay where they were read.
+    """
+    firsts = rows.groupBy("topic", "partition").agg(F.min("offset").alias("first")).collect()  # one row for each partition
+    if not firsts:
+        return None
+    side = rows.sparkSession.createDataFrame([(r.topic, r.partition, r.first) for r in firsts], "t string, p int, first long")
+    both = rows.join(F.broadcast(side), F.col("topic").eqNullSafe(F.col("t")) & F.col("partition").eqNullSafe(F.col("p")))
+    return both.withColumn("seq", F.coalesce(F.col("offset") - F.col("first"), F.lit(0))).drop("t", "p", "first")
 
 
 def ingest(stream: DataFrame, targets: list, checkpoint: str, available_now: bool = True, on_applied: Callable | None = None) -> StreamingQuery:
@@ -42,9 +49,10 @@ def ingest(stream: DataFrame, targets: list, checkpoint: str, available_now: boo
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = ordered(batch).persist()
+        held = parsed(batch).persist()
         try:
-            if rows.isEmpty():
+            rows = ordered(held)
+            if rows is None:
                 return
             ready = []
             for t in targets:
@@ -58,7 +66,7 @@ def ingest(stream: DataFrame, targets: list, checkpoint: str, available_now: boo
             if on_applied:
                 on_applied(batch_id)
         finally:
-            rows.unpersist()
+            held.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -296,6 +296,19 @@ def test_batches_apply_whole_or_not_at_all(spark, tmp_path):
     assert seen(index.visible()) == {104: (5, None)}
 
 
+def test_batches_count_their_new_keys_only(spark, tmp_path):
+    """The keys of every shard after each batch; the log's keys meet the batch's where they are."""
+    index = LayeredIndex(spark, f"{tmp_path}/w", 4, 7, mode=Mode.FULL_WITH_REALTIME)
+    index.open_realtime(S, 30)
+    for k, keys in enumerate(([1, 2, 3], [3, 4, 4], [1], [200, 201, 2])):
+        index.apply(messages(spark, [(0, 10 * k + i, x, {"score": k}) for i, x in enumerate(keys)]))
+        live = index.log(index.directory()[0].realtime).groupBy("shard_id").agg(F.count_distinct("pk").alias("n")).collect()
+        assert {s.shard_id: s.realtime.stats.unique_keys for s in index.directory()} == {k: 0 for k in range(4)} | {r.shard_id: r.n for r in live}
+    batch = spark.createDataFrame([(0, 9, 0)], "shard_id int, pk long, partition int")
+    plan = index._met(batch, index.directory())._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [shard_id" in plan and "LeftSemi, BuildRight" in plan
+
+
 def together(*calls):
     from concurrent.futures import ThreadPoolExecutor
 
