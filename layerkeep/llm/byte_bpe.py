@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cached, id_text, leaving_tidy, rows_of, small_batches, table
+from .common import cached, id_text, leaving_tidy, rows_of, small_batches, table, tidy
 
 #: Pieces that a worker keeps, about 200 bytes each; characters of a run of rows.
 MOST_KEPT, RUN_CHARS = 400_000, 1_000_000
+#: The same for ``with_ids``, whose workers carry whole rows beside a JVM that earlier stages have filled.
+MOST_KEPT_WITH_ROWS, RUN_CHARS_WITH_ROWS = 150_000, 400_000
 #: Rows of one recursive query at most, were every step to contract one pair; ids of one decoding query. They bound DuckDB's tables.
 QUERY_ROWS, DECODED_IDS = 1_000_000, 200_000
 #: A query takes a step for each contraction and keeps every step's rows, so longer pieces (bytes) go to ``contract_long``.
@@ -98,6 +100,9 @@ class Codec:
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.simple = pattern == KNOWN
         self.kept: dict[str, bytes] = {}  # ids of pieces
+        self.most_kept = MOST_KEPT
+        del pairs, ids
+        tidy()
 
     def put(self, name: str, **columns) -> None:
         self.con.register("arrow_rows", pa.table(columns))
@@ -178,8 +183,9 @@ class Codec:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(x) if x else [] for x in texts]
         missing = set().union(*cut).difference(self.kept)
-        if len(self.kept) + len(missing) > MOST_KEPT:
+        if len(self.kept) + len(missing) > self.most_kept:
             self.kept.clear()
+            tidy()
             missing = set().union(*cut)
         self.learn(list(missing))
         for p in cut:
@@ -196,17 +202,18 @@ def codec(raw_ranks: bytes, pattern: str) -> Codec:
     return cached(f"bpe:{hashlib.sha256(raw_ranks + pattern.encode()).hexdigest()}", lambda: Codec(raw_ranks, pattern))
 
 
-def _run(docs: DataFrame, path: str, pattern: str, ddl: str, schema: pa.Schema, answer) -> DataFrame:
-    """``answer`` of the codec, ids and texts of a run of rows; the rank file (bounded: about 1 MB) is read once, on the driver, and broadcast."""
+def _run(docs: DataFrame, path: str, pattern: str, ddl: str, schema: pa.Schema, answer, most_kept: int = MOST_KEPT, run_chars: int = RUN_CHARS) -> DataFrame:
+    """``answer`` of the codec, first column, texts and columns from the text's on of a run of rows; the rank file (bounded: about 1 MB) is read once, on the driver, and broadcast."""
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         own = codec(ranks.value, pattern)
+        own.most_kept = most_kept
         for batch in batches:
             start = 0
-            for _, texts in rows_of(batch, RUN_CHARS):
-                rest = batch.slice(start, len(texts)).columns[2:]
+            for _, texts in rows_of(batch, run_chars):
+                rest = batch.slice(start, len(texts)).columns[1:]
                 first = batch.column(0).slice(start, len(texts))
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays(answer(own, first, texts, rest), schema=schema)
@@ -265,16 +272,18 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
     """The rows with the columns of ``ADDED``; columns that have these names already are replaced."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ADDED or c == text_col]
-    rows = docs.select(F.lit(0).alias("__no_id"), F.col(text_col).cast("string").alias("__cut"), *kept)
+    sent = [c for c in kept if c != text_col or docs.schema[c].dataType != T.StringType()]  # a text that is a string travels once
+    rows = docs.select(F.lit(0).alias("__no_id"), F.col(text_col).cast("string").alias("__cut"), *sent)
     out = T.StructType([*docs.select(*kept).schema.fields, *T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in ADDED.items() if c != text_col)).fields])
     schema = to_arrow_schema(out)
 
     def answer(own: Codec, first: pa.Array, texts: list[str | None], rest) -> list[pa.Array]:
         ids, one, two = zip(*own.round_trip(texts), strict=True)
         new = {"n_tokens": pa.array(list(map(len, ids)), pa.int64()), "ids": _id_lists(ids), "ids_sha256": pa.array(one), "decoded_sha256": pa.array(two)}
-        return [*rest, *(new[c] for c in ADDED if c != text_col)]
+        own_columns = {text_col: rest[0]} | dict(zip(sent, rest[1:], strict=True))
+        return [*(own_columns[c] for c in kept), *(new[c] for c in ADDED if c != text_col)]
 
-    return _run(rows, path, pattern, out, schema, answer)
+    return _run(rows, path, pattern, out, schema, answer, MOST_KEPT_WITH_ROWS, RUN_CHARS_WITH_ROWS)
 
 
 def public_files() -> tuple[str, str]:
