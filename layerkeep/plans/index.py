@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..errors import Cancelled, FailedPrecondition, InvalidArgument, LayerError, Status, Unavailable
 from ..functions.fields import payload_bytes, project
-from ..functions.hashing import check_shard_count, shard_for, with_shard
+from ..functions.hashing import check_shard_count, index_capacity, shard_for, with_shard
 from ..functions.wire import decode_frames
 from ..operators import maintain, overlay, updates
 from ..schema import Schema
@@ -36,7 +36,7 @@ from ..sources.update_log import Consumer, behind, check_poll, merged_progress
 
 #: Messages of a batch have a seq below this.
 BATCH_SEQ = 1 << 44
-#: Keys for each shard that catching up after a load may bring.
+#: Keys for each shard that a load's realtime layer has room for at first; catching up makes more room as it needs.
 CATCH_UP_CAPACITY = 1_024
 
 
@@ -345,11 +345,12 @@ class LayeredIndex:
 
         self._again(attempt)
 
-    def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...]) -> Prepared:
+    def prepared(self, messages: DataFrame, schema: Schema, target: tuple[Shard, ...], bounded: bool = True) -> Prepared:
         """Decodes, checks and writes a batch for ``target``. Nothing is published.
 
         Of earlier messages only keys and partitions are read, once, and where
         they are: the batch's keys go to them, so the log is not shuffled.
+        A batch that is ``bounded`` may not bring a shard more keys than its capacity.
         """
         rows = decode_frames(messages, schema) if "payload" in messages.columns else messages.withColumn("error", F.lit(None).cast("string"))
         dealt = with_shard(rows, self.shards, seed=self.seed, version=self.hash_version)
@@ -366,7 +367,7 @@ class LayeredIndex:
             if r.conflict:
                 raise FailedPrecondition("updates of one key come from different partitions")
             held[r.shard_id] += r.new
-            if held[r.shard_id] > capacity[r.shard_id]:
+            if bounded and held[r.shard_id] > capacity[r.shard_id]:
                 raise FailedPrecondition(f"shard {r.shard_id} holds {held[r.shard_id]} keys, its capacity is {capacity[r.shard_id]}")
         kept.repartitionByRange("shard_id", "pk", "offset").sortWithinPartitions("shard_id", "pk").write.parquet(folder)  # a hot key spreads over tasks
         Files(self.spark).delete(f"{folder}-checked")
@@ -395,15 +396,20 @@ class LayeredIndex:
         return own.groupBy("shard_id").agg(F.sum(new).alias("new"), F.bool_or(low != high).alias("conflict"))
 
     def with_folder(self, target: tuple[Shard, ...], batch: Prepared, schema: Schema) -> tuple[Shard, ...]:
-        """The shards with the batch's folder more in their realtime layer; only the batch is read for their statistics."""
+        """The shards with the batch's folder more in their realtime layer; only the batch is read for their statistics.
+
+        A shard that has more keys than its capacity, by a batch that was not bounded, gets the capacity that they need.
+        """
         added = self._counted((batch.folder,), schema)
         out = []
         for s in target:
             n, size = added.get(s.shard_id, (0, 0, 0))[1:]
             old = s.realtime.stats
             slots = old.slot_bytes + n * schema.layout().slot_bytes
-            stats = updates.DeltaStats(s.realtime.capacity, batch.keys[s.shard_id], old.published_rows + n, slots, old.payload_bytes + size)
-            out.append(replace(s, realtime=replace(s.realtime, folders=(*s.realtime.folders, batch.folder), stats=stats)))
+            keys = batch.keys[s.shard_id]
+            capacity = s.realtime.capacity if keys <= s.realtime.capacity else index_capacity(keys)
+            stats = updates.DeltaStats(capacity, keys, old.published_rows + n, slots, old.payload_bytes + size)
+            out.append(replace(s, realtime=replace(s.realtime, folders=(*s.realtime.folders, batch.folder), capacity=capacity, stats=stats)))
         return tuple(out)
 
     def _counted(self, folders: tuple[str, ...], schema: Schema) -> dict[int, tuple[int, int, int]]:
@@ -610,7 +616,7 @@ class LayeredIndex:
             self._mark(load_id, [s.shard_id], cutover=True)
 
     def _caught_up(self, load_id: int, shards: tuple[Shard, ...], m) -> tuple[Shard, ...]:
-        """The new shards after all updates up to the highest end that was seen."""
+        """The new shards after all updates up to the highest end that was seen, however many keys they bring."""
         if not m.progress:
             raise FailedPrecondition("the artifact's source progress is empty")
         if self.consumer is None:
@@ -628,7 +634,7 @@ class LayeredIndex:
             self._note(load_id, progress=tuple(target))
             batch = consumer.poll(100_000)
             if batch is not None:
-                ready = self.prepared(batch, m.schema, shards)
+                ready = self.prepared(batch, m.schema, shards, bounded=False)
                 shards = self.with_folder(shards, ready, m.schema)
                 done = self.spark.read.schema(log_type(m.schema)).parquet(ready.folder)
                 consumer.commit({(r.topic, r.partition): r.next_offset for r in updates.checkpoint(done).collect()})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from layerkeep.errors import FailedPrecondition, InvalidArgument, NotFound
 from layerkeep.functions import fields, hashing, positions, wire
 from layerkeep.operators import maintain, overlay, updates
-from layerkeep.plans.index import Changed, LayeredIndex, LoadCode, Mode
+from layerkeep.plans.index import CATCH_UP_CAPACITY, Changed, LayeredIndex, LoadCode, Mode
 from layerkeep.schema import Field, Schema
 from layerkeep.sources import artifact, builder, fixtures, parquet_rows, schema_file, update_log
 from layerkeep.sources.artifact import Artifact, Progress, write_artifact
@@ -278,6 +278,28 @@ def test_catch_up_maintenance_and_evolution(spark, tmp_path, snapshot):
     assert schema.version == 901 and got[7] == 6 and got[8] == 5
 
 
+def test_catching_up_brings_more_keys_than_there_was_room_for(spark, tmp_path, snapshot):
+    log, n = f"{tmp_path}/log", 2 * CATCH_UP_CAPACITY + 400
+    framed = spark.range(n).select((F.col("id") + 5).alias("pk"), F.struct(F.col("id").cast("int").alias("score"), F.lit("rt").alias("title")).alias("row"), F.col("id").alias("offset"))
+    wire.encode_rows(framed.select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), "offset", F.col("pk").cast("string").alias("key"), "row"), S).write.parquet(log)
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, consumer=lambda: LogConsumer(spark, log, ConsumerConfig("local", "g", ("t",))))
+    state = index.wait(index.load_async(snapshot))
+    assert (state.code, state.last_error, state.progress) == (LoadCode.SUCCEEDED, "", (Progress("t", 0, n, n),))
+    want = {k: (k * 10, "full") for k in range(5)} | {k + 5: (k, "rt") for k in range(n)}
+    assert seen(index.visible()) == want and index.stats().unique_keys == n
+    live = [s.realtime for s in index.directory()]
+    assert all(CATCH_UP_CAPACITY < r.stats.unique_keys <= r.capacity == r.stats.capacity for r in live)
+    room = live[0].capacity - live[0].stats.unique_keys
+    more = [k for k in range(10_000, 20_000) if index.shard_for(k) == 0][: room + 1]
+    with pytest.raises(FailedPrecondition):  # later batches keep to the capacity
+        index.apply(messages(spark, [(0, n + i, k, {"score": 1}) for i, k in enumerate(more)]))
+    index.apply(messages(spark, [(0, n + i, k, {"score": 1}) for i, k in enumerate(more[:-1])]))
+    want |= {k: (1, None) for k in more[:-1]}
+    index.compact()
+    index.rebase()
+    assert seen(index.visible()) == want
+
+
 def test_batches_apply_whole_or_not_at_all(spark, tmp_path):
     index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, mode=Mode.FULL_WITH_REALTIME)
     with pytest.raises(FailedPrecondition):
