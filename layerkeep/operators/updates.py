@@ -18,6 +18,9 @@ from ..errors import FailedPrecondition, InvalidArgument
 from ..functions.positions import IDEMPOTENT, MAX_OFFSET, NEWER, STALE
 from ..schema import Schema
 
+#: Messages of a batch have a seq below this.
+BATCH_SEQ = 1 << 44
+
 
 def latest(log: DataFrame, boundary: int | None = None) -> DataFrame:
     """pk, row, partition, offset of each key's newest update that arrived before ``boundary`` (a seq).
@@ -78,7 +81,7 @@ def validate(batch: DataFrame) -> None:
         raise InvalidArgument("a source position is negative")
     if seen.high == MAX_OFFSET:
         raise InvalidArgument("an offset has no successor")
-    if seen["first"] is None or seen["first"] < 0 or seen.last >= 1 << 44:
+    if seen["first"] is None or seen["first"] < 0 or seen.last >= BATCH_SEQ:
         raise InvalidArgument("a message's seq is out of range")
     if seen.no_key:
         raise InvalidArgument("a key is no unsigned 64-bit number")

@@ -34,10 +34,10 @@ from ..sources.artifact import Artifact, Progress, read_shards, write_artifact
 from ..sources.files import Files, check_uri
 from ..sources.update_log import Consumer, behind, check_poll, merged_progress
 
-#: Messages of a batch have a seq below this.
-BATCH_SEQ = 1 << 44
 #: Keys for each shard that a load's realtime layer has room for at first; catching up makes more room as it needs.
 CATCH_UP_CAPACITY = 1_024
+#: Messages of a partition in the first round of catching up within a time limit.
+FIRST_ROUND = 100_000
 
 
 class Mode(Enum):
@@ -359,7 +359,7 @@ class LayeredIndex:
         checked = self.spark.read.parquet(f"{folder}-checked")
         updates.validate(checked)
         known = tuple(sorted({f for s in target if s.realtime for f in s.realtime.folders}))
-        checked = checked.withColumn("seq", F.col("seq") + len(known) * BATCH_SEQ)  # later batches arrive later
+        checked = checked.withColumn("seq", F.col("seq") + len(known) * updates.BATCH_SEQ)  # later batches arrive later
         kept = checked.drop("error")
         held = {s.shard_id: s.realtime.stats.unique_keys for s in target if s.realtime}
         capacity = {s.shard_id: s.realtime.capacity for s in target if s.realtime}
@@ -616,7 +616,12 @@ class LayeredIndex:
             self._mark(load_id, [s.shard_id], cutover=True)
 
     def _caught_up(self, load_id: int, shards: tuple[Shard, ...], m) -> tuple[Shard, ...]:
-        """The new shards after all updates up to the highest end that was seen, however many keys they bring."""
+        """The new shards after all updates up to the highest end that was seen, however many keys they bring.
+
+        A round takes all that is lacking, so that the log is read a few times
+        and not once for each of many small rounds. Within a time limit rounds
+        begin small and double, as the clock is looked at between them.
+        """
         if not m.progress:
             raise FailedPrecondition("the artifact's source progress is empty")
         if self.consumer is None:
@@ -626,13 +631,15 @@ class LayeredIndex:
         consumer.seek(start)
         consumer.commit(start)
         target = merged_progress(list(m.progress), consumer.progress())
-        began = time.monotonic()
+        began, most = time.monotonic(), FIRST_ROUND
         while behind(target):
             self._stop_if_cancelled(load_id)
             if self.catch_up_seconds is not None and time.monotonic() - began > self.catch_up_seconds:
                 raise Unavailable("catching up took too long")
             self._note(load_id, progress=tuple(target))
-            batch = consumer.poll(100_000)
+            lacking = max(p.high_watermark - p.next_offset for p in target)
+            batch = consumer.poll(lacking if self.catch_up_seconds is None else min(lacking, most))
+            most *= 2
             if batch is not None:
                 ready = self.prepared(batch, m.schema, shards, bounded=False)
                 shards = self.with_folder(shards, ready, m.schema)

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..errors import FailedPrecondition, InvalidArgument
 from ..functions.hashing import key_bits
 from ..functions.positions import parse_key
+from ..operators.updates import BATCH_SEQ
 from .artifact import Progress
 from .files import Files
 
@@ -100,7 +101,7 @@ class LogConsumer:
         self.next = dict(positions)
 
     def poll(self, max_messages: int, timeout_ms: int = 0) -> DataFrame | None:
-        """The next messages of all partitions, at most so many of each; None if there are none within the timeout."""
+        """The next messages of all partitions, at most so many offsets of each; None if there are none within the timeout."""
         check_poll(max_messages, timeout_ms)
         until = time.monotonic() + timeout_ms / 1000
         while (batch := self._ready(max_messages)) is None and (left := until - time.monotonic()) > 0:
@@ -111,18 +112,30 @@ class LogConsumer:
         """The messages that are there.
 
         seq is the order within a partition, which is all that updates of one key
-        need. The positions move on; what was polled is consumed again unless committed.
+        need: how far a message is behind its partition's first one. Nothing is
+        sorted, and messages stay where they were read; only where a partition has
+        more than may be polled its offsets alone are ranked, to find the last.
+        The positions move on; what was polled is consumed again unless committed.
         """
         start = F.lit(0).cast("long")
         for (t, p), o in self.next.items():
             start = F.when((F.col("topic") == t) & (F.col("partition") == p), F.lit(o).cast("long")).otherwise(start)
-        rank = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
-        rows = self.messages().filter(F.col("offset") >= start).withColumn("seq", rank).filter(F.col("seq") <= max_messages).withColumn("seq", F.col("seq").cast("long"))
-        ends = rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("o")).collect()  # one row for each partition
-        if not ends:
+        rows = self.messages().filter(F.col("offset") >= start)
+        n, end = F.count(F.lit(1)).alias("n"), (F.max("offset") + 1).alias("end")
+        parts = rows.groupBy("topic", "partition").agg(n, F.min("offset").alias("first"), end).collect()  # one row for each partition
+        if not parts:
             return None
-        self.next |= {(r.topic, r.partition): r.o for r in ends}
-        return parsed(rows)
+        ends = {(r.topic, r.partition): min(r.end, r.first + BATCH_SEQ) for r in parts}
+        if any(min(r.n, r.end - r.first) > max_messages for r in parts):
+            rank = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
+            some = rows.select("topic", "partition", "offset").withColumn("rank", rank).filter(F.col("rank") <= max_messages)
+            for r in some.groupBy("topic", "partition").agg(end).collect():
+                ends[r.topic, r.partition] = min(ends[r.topic, r.partition], r.end)
+        self.next |= ends
+        side = self.spark.createDataFrame([(r.topic, r.partition, r.first, ends[r.topic, r.partition]) for r in parts], "t string, p int, first long, end long")
+        here = F.col("topic").eqNullSafe(F.col("t")) & F.col("partition").eqNullSafe(F.col("p"))
+        taken = rows.join(F.broadcast(side), here).filter(F.col("offset") < F.col("end"))
+        return parsed(taken.withColumn("seq", F.col("offset") - F.col("first")).drop("t", "p", "first", "end"))
 
     def commit(self, positions: dict[tuple[str, int], int]) -> None:
         now = self.committed() | positions

@@ -300,6 +300,31 @@ def test_catching_up_brings_more_keys_than_there_was_room_for(spark, tmp_path, s
     assert seen(index.visible()) == want
 
 
+def test_catching_up_takes_all_that_is_lacking_in_a_round(spark, tmp_path, snapshot, monkeypatch):
+    log, n = f"{tmp_path}/log", 3_000
+    framed = spark.range(n).select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), (F.col("id") % 100).cast("string").alias("key"), F.struct(F.col("id").cast("int").alias("score"), F.lit(None).cast("string").alias("title")).alias("row"))
+    wire.encode_rows(framed, S).write.parquet(log)
+    polls = []
+
+    class Counting(LogConsumer):
+        def poll(self, max_messages, timeout_ms=0):
+            out = super().poll(max_messages, timeout_ms)
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            polls.append((max_messages, out.count(), "Window" in plan or "Sort" in plan))
+            return out
+
+    index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, consumer=lambda: Counting(spark, log, ConsumerConfig("local", "g", ("t",))))
+    assert index.wait(index.load_async(snapshot)).progress == (Progress("t", 0, n, n),)
+    assert polls == [(n, n, False)]
+    want = {k: (n - 100 + k, None) for k in range(100)}
+    assert seen(index.visible()) == want
+    polls.clear()  # a limit of time: the clock is looked at between rounds
+    monkeypatch.setattr("layerkeep.plans.index.FIRST_ROUND", 700)
+    timed = LayeredIndex(spark, f"{tmp_path}/w2", 2, 7, consumer=lambda: Counting(spark, log, ConsumerConfig("local", "g2", ("t",))), catch_up_seconds=600)
+    assert timed.wait(timed.load_async(snapshot)).progress == (Progress("t", 0, n, n),)
+    assert [k for _, k, _ in polls] == [700, 1_400, 900] and seen(timed.visible()) == want
+
+
 def test_batches_apply_whole_or_not_at_all(spark, tmp_path):
     index = LayeredIndex(spark, f"{tmp_path}/w", 2, 7, mode=Mode.FULL_WITH_REALTIME)
     with pytest.raises(FailedPrecondition):
@@ -434,6 +459,24 @@ def test_keys_are_digits_only(spark):
     assert {r.t: None if r.k is None else int(r.k) for r in got} == want
 
 
+def test_polls_of_sparse_and_repeated_offsets(spark, tmp_path):
+    path, far = f"{tmp_path}/log", 1 << 50
+    offsets = {0: [3, 4, 4, 9, 40, far, far + 1], 1: [0, 1], 2: [7, 7, 7]}
+    rows = [("t", p, o, str(o), bytearray(wire.encode_row(S, {"score": 1}))) for p, some in offsets.items() for o in some]
+    spark.createDataFrame(rows, update_log.MESSAGE).write.parquet(path)
+    for most in (2, 100):
+        c, got = LogConsumer(spark, path, ConsumerConfig("local", f"g{most}", ("t",))), []
+        while (batch := c.poll(most)) is not None:
+            some = batch.select("partition", "offset", "seq").collect()
+            updates.validate(batch.withColumn("row", F.lit(1)))
+            for p in offsets:
+                own = sorted((r.seq, r.offset) for r in some if r.partition == p)
+                assert len({o for _, o in own}) <= most and [o for _, o in own] == sorted(o for _, o in own)
+            got += [(r.partition, r.offset) for r in some]
+        assert sorted(got) == sorted((p, o) for p, some in offsets.items() for o in some)
+        assert c.next == {("t", 0): far + 2, ("t", 1): 2, ("t", 2): 8}
+
+
 def test_consumer(spark, tmp_path):
     path, config = f"{tmp_path}/log", ConsumerConfig("local", "g", ("t",))
     rows = [("t", p, o, str(100 + o), bytearray(wire.encode_row(S, {"score": o}))) for p, o in ((0, 10), (1, 7), (0, 12))]
